@@ -18,6 +18,8 @@ REMEMBERED = 400_000
 
 #: White space other than space, tab and line ends: tokenizers and re don't agree on all of it.
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+#: What _spelled takes apart by itself: letters of Latin-1, then marks; an optional space before them.
+_PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 _UNITS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -48,8 +50,9 @@ class Codec:
         self.joined = None
         if spec.get("decoder") is None:  # tokens with a space between
             names = {i: t for t, i in tokens.items()}
-            self.joined = [names.get(i) for i in range(self.size)]
-        self.digits = [b"%d" % i for i in range(self.size)]
+            self.joined = Strings([names.get(i, "").encode() for i in range(self.size)], [i in names for i in range(self.size)])
+        self.digits = Strings([b"%d" % i for i in range(self.size)])
+        self.merges = self._merges(spec["model"]) if self.split and self.dtype.itemsize == 2 else None
 
     @staticmethod
     def _drops_spaces(pre: dict, normal: dict | None) -> bool:
@@ -74,9 +77,59 @@ class Codec:
             return _UNITS.findall(text)
         return [text]
 
+    def _merges(self, model: dict) -> dict[int, int] | None:
+        """The merges as (left << 16 | right) -> rank, with self.merged[rank] what they make; sets what spelling needs."""
+        if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
+            return None
+        vocab = model["vocab"]
+        # Bytes as the byte-level alphabet writes them: printable ones as themselves, the others from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        letters = {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+        self.ending = model.get("end_of_word_suffix") or ""
+        self.alphabet = {b: vocab.get(c) for b, c in letters.items()}
+        self.endings = {b: vocab.get(c + self.ending) for b, c in letters.items()}
+        if None in self.alphabet.values() or None in self.endings.values():
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merged = [vocab[a + b] for a, b in pairs]
+        self.pieces: dict[str, bytes] = {}
+        return {vocab[a] << 16 | vocab[b]: rank for rank, (a, b) in reversed([*enumerate(pairs)])}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the tokenizer looks at alone: its bytes, joined by the merge of the lowest rank, leftmost first."""
+        found = self.pieces.get(piece)
+        if found is None:
+            data, rank_of, none = piece.encode(), self.merges.get, 1 << 30
+            ids = [self.alphabet[b] for b in data[:-1]] + [self.endings[data[-1]]]
+            ranks = [rank_of(a << 16 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+            while ranks and (least := min(ranks)) < none:
+                k = ranks.index(least)
+                ids[k : k + 2] = [self.merged[least]]
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = rank_of(ids[k - 1] << 16 | ids[k], none)
+                if k < len(ranks):
+                    ranks[k] = rank_of(ids[k] << 16 | ids[k + 1], none)
+            found = np.array(ids, self.dtype).tobytes()
+            if len(self.pieces) < REMEMBERED:
+                self.pieces[piece] = found
+        return found
+
     def _learn(self, units: set[str]) -> dict[str, bytes]:
-        todo = list(units)
-        found = {u: np.array(e.ids, self.dtype).tobytes() for u, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True)}
+        """Ids of new units: plain words by the merges, all others by the library."""
+        found, todo = {}, []
+        drops = self.split == "drops spaces"
+        for u in units:
+            m = _PLAIN.fullmatch(u) if self.merges else None
+            if m and len(u) <= 64:
+                word = m[2].lower() if drops else m[1] + m[2]
+                found[u] = self._piece(word) + self._piece(m[3]) if m[3] else self._piece(word)
+            else:
+                todo.append(u)
+        if todo:
+            encoded = self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)
+            found.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(todo, encoded, strict=True))
         if len(self.known) < REMEMBERED:
             self.known.update((k, v) for k, v in found.items() if len(k) <= 64)
         return found
@@ -97,13 +150,34 @@ class Codec:
 
     def decimal(self, data: bytes) -> bytes:
         """The ids in decimal with a space between."""
-        return b" ".join(map(self.digits.__getitem__, self.ids(data).tolist()))
+        return self.digits.join(self.ids(data))
 
-    def decode(self, data: bytes) -> str:
-        ids = self.ids(data).tolist()
+    def decode(self, data: bytes) -> bytes:
+        """The text, in UTF-8."""
         if self.joined is not None:
-            return " ".join([t for t in map(self.joined.__getitem__, ids) if t is not None])
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            return self.joined.join(self.ids(data))
+        return self.tokenizer.decode(self.ids(data).tolist(), skip_special_tokens=False).encode()
+
+
+class Strings:
+    """Strings by number, and sequences of numbers as those strings with a space between, by table lookup."""
+
+    def __init__(self, strings: list[bytes], there: list[bool] | None = None, width: int = 24):
+        self.strings, self.there = strings, None if there is None or all(there) else np.array(there)
+        self.table = np.zeros((len(strings), width), np.uint8)
+        self.sizes = np.array([len(x) + 1 for x in strings])
+        self.wide = self.sizes > width
+        for k, x in enumerate(strings):
+            if not self.wide[k]:
+                self.table[k, : len(x) + 1] = np.frombuffer(x + b" ", np.uint8)
+        self.filled = np.arange(width) < self.sizes[:, None]
+
+    def join(self, ids: np.ndarray) -> bytes:
+        if self.there is not None:
+            ids = ids[self.there[ids]]
+        if self.wide[ids].any():
+            return b" ".join(map(self.strings.__getitem__, ids.tolist()))
+        return self.table[ids][self.filled[ids]].tobytes()[:-1]
 
 
 @functools.lru_cache(maxsize=2)

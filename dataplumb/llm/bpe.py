@@ -182,8 +182,8 @@ FINISHED = {
 
 def _finish(data: bytes, codec_: Codec, output: str) -> tuple:
     if output == "ids":
-        return codec_.ids(data).tolist(), codec_.decode(data)
-    return codec_.count(data), hashlib.sha256(codec_.decimal(data)).hexdigest(), hashlib.sha256(codec_.decode(data).encode()).hexdigest()
+        return codec_.ids(data).tolist(), codec_.decode(data).decode()
+    return codec_.count(data), hashlib.sha256(codec_.decimal(data)).hexdigest(), hashlib.sha256(codec_.decode(data)).hexdigest()
 
 
 def encode(docs: DataFrame, tokenizer: str, output: str = "digest") -> DataFrame:
