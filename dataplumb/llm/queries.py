@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, quality, tokenfile
 from ._common import documents
 
 
@@ -20,6 +20,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ FROM joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op9_source_mix": op9_source_mix,
 }
