@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secretscan, tokenfile
+from . import bpe, mixing, pii_crf, quality, secretscan, tokenfile
 from ._common import documents
 
 
@@ -32,6 +32,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(documents(spark, sf_dir))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.report(documents(spark, sf_dir))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
+    "op8_personal_data": op8_personal_data,
     "op9_source_mix": op9_source_mix,
 }
 
