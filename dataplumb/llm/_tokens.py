@@ -10,15 +10,19 @@ import functools
 import json
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: Units that a process remembers at most; the first met are the most frequent ones.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Characters of text whose new units are learnt together.
+TOGETHER = 1 << 21
 
 #: White space other than space, tab and line ends: tokenizers and re don't agree on all of it.
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-#: What _spelled takes apart by itself: letters of Latin-1, then marks; an optional space before them.
+#: What _learn takes apart by itself: letters of Latin-1, then marks; an optional space before them.
+_NONE = 1 << 40
 _PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
 _UNITS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
@@ -40,6 +44,7 @@ class Codec:
         self.size = max(self.size, max(tokens.values(), default=0) + 1)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.passing: list[str] = []  # units that are known for now only
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.split = ""
         if not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]) and not spec.get("post_processor"):
@@ -52,7 +57,7 @@ class Codec:
             names = {i: t for t, i in tokens.items()}
             self.joined = Strings([names.get(i, "").encode() for i in range(self.size)], [i in names for i in range(self.size)])
         self.digits = Strings([b"%d" % i for i in range(self.size)])
-        self.merges = self._merges(spec["model"]) if self.split and self.dtype.itemsize == 2 else None
+        self.merges = bool(self.split) and self.dtype.itemsize == 2 and self._merges(spec["model"])
 
     @staticmethod
     def _drops_spaces(pre: dict, normal: dict | None) -> bool:
@@ -77,70 +82,125 @@ class Codec:
             return _UNITS.findall(text)
         return [text]
 
-    def _merges(self, model: dict) -> dict[int, int] | None:
-        """The merges as (left << 16 | right) -> rank, with self.merged[rank] what they make; sets what spelling needs."""
+    def _merges(self, model: dict) -> bool:
+        """Sets what _spell needs; False if the model isn't one of plain merges over bytes."""
         if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
-            return None
-        vocab = model["vocab"]
+            return False
+        vocab, ending = model["vocab"], model.get("end_of_word_suffix") or ""
         # Bytes as the byte-level alphabet writes them: printable ones as themselves, the others from U+0100 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
-        letters = {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
-        self.ending = model.get("end_of_word_suffix") or ""
-        self.alphabet = {b: vocab.get(c) for b, c in letters.items()}
-        self.endings = {b: vocab.get(c + self.ending) for b, c in letters.items()}
-        if None in self.alphabet.values() or None in self.endings.values():
-            return None
+        letters = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+        self.alphabet = np.array([vocab.get(c, -1) for c in letters], np.int64)
+        self.endings = np.array([vocab.get(c + ending, -1) for c in letters], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merged = [vocab[a + b] for a, b in pairs]
-        self.pieces: dict[str, bytes] = {}
-        return {vocab[a] << 16 | vocab[b]: rank for rank, (a, b) in reversed([*enumerate(pairs)])}
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece that the tokenizer looks at alone: its bytes, joined by the merge of the lowest rank, leftmost first."""
-        found = self.pieces.get(piece)
-        if found is None:
-            data, rank_of, none = piece.encode(), self.merges.get, 1 << 30
-            ids = [self.alphabet[b] for b in data[:-1]] + [self.endings[data[-1]]]
-            ranks = [rank_of(a << 16 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-            while ranks and (least := min(ranks)) < none:
-                k = ranks.index(least)
-                ids[k : k + 2] = [self.merged[least]]
-                del ranks[k]
-                if k:
-                    ranks[k - 1] = rank_of(ids[k - 1] << 16 | ids[k], none)
-                if k < len(ranks):
-                    ranks[k] = rank_of(ids[k] << 16 | ids[k + 1], none)
-            found = np.array(ids, self.dtype).tobytes()
-            if len(self.pieces) < REMEMBERED:
-                self.pieces[piece] = found
+        rank_of: dict[int, int] = {}
+        for rank, (a, b) in enumerate(pairs):
+            rank_of.setdefault(vocab[a] << 16 | vocab[b], rank)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys = np.array(sorted(rank_of), np.int64)
+        self.ranks = np.array([rank_of[k] for k in self.keys.tolist()], np.int64)
+        return bool(len(pairs)) and min(self.alphabet.min(), self.endings.min()) >= 0
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of the merges of pairs; _NONE where there is none or nothing on the right."""
+        key = left << 16 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], _NONE)
+
+    def _spell(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the tokenizer looks at alone: bytes, joined by the merge of the lowest rank, leftmost first.
+
+        Many pieces of about one length are done at once: in each round every piece makes one merge.
+        """
+        found: dict[str, bytes] = {}
+        coded = sorted(((p.encode(), p) for p in pieces), key=lambda x: len(x[0]))
+        for begin in range(0, len(coded), 4096):
+            some = coded[begin : begin + 4096]
+            size = np.array([len(d) for d, _ in some])
+            width, rows = int(size[-1]), np.arange(len(some))
+            place = np.arange(width)
+            inside = place < size[:, None]
+            ids = np.full((len(some), width + 1), -1, np.int64)
+            data = np.frombuffer(b"".join(d for d, _ in some), np.uint8)
+            ids[:, :width][inside] = self.alphabet[data]
+            ids[rows, size - 1] = self.endings[data[np.cumsum(size) - 1]]
+            ranks = np.full((len(some), width + 1), _NONE)
+            ranks[:, :width] = self._rank(ids[:, :-1], ids[:, 1:])
+            live = rows
+            while len(live):
+                at = ranks[live].argmin(1)
+                least = ranks[live, at]
+                live, at, least = (x[least < _NONE] for x in (live, at, least))
+                if not len(live):
+                    break
+                ids[live, at] = self.merged[least]
+                take = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > at[:, None]), width)
+                ids[live] = np.take_along_axis(ids[live], take, 1)
+                ranks[live] = np.take_along_axis(ranks[live], take, 1)
+                ranks[live, at] = self._rank(ids[live, at], ids[live, at + 1])
+                back = at > 0
+                ranks[live[back], at[back] - 1] = self._rank(ids[live[back], at[back] - 1], ids[live[back], at[back]])
+            size = (ids >= 0).sum(1)
+            flat, ends = ids[ids >= 0].astype(self.dtype).tobytes(), np.cumsum(size) * self.dtype.itemsize
+            for (_, p), a, b in zip(some, (ends - size * self.dtype.itemsize).tolist(), ends.tolist(), strict=True):
+                found[p] = flat[a:b]
         return found
 
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of new units: plain words by the merges, all others by the library."""
-        found, todo = {}, []
+    def _learn(self, units: set[str]) -> None:
+        """Make new units known: plain words by the merges, all others by the library."""
+        found, todo, plain = {}, [], []
         drops = self.split == "drops spaces"
         for u in units:
-            m = _PLAIN.fullmatch(u) if self.merges else None
-            if m and len(u) <= 64:
-                word = m[2].lower() if drops else m[1] + m[2]
-                found[u] = self._piece(word) + self._piece(m[3]) if m[3] else self._piece(word)
+            m = _PLAIN.fullmatch(u) if self.merges and len(u) <= 64 else None
+            if m:
+                plain.append((u, m[2].lower() if drops else m[1] + m[2], m[3]))
             else:
                 todo.append(u)
+        spelled = self._spell(list({p for _, a, b in plain for p in (a, b) if p}))
+        for u, word, marks in plain:
+            found[u] = spelled[word] + spelled[marks] if marks else spelled[word]
         if todo:
             encoded = self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)
             found.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(todo, encoded, strict=True))
-        if len(self.known) < REMEMBERED:
-            self.known.update((k, v) for k, v in found.items() if len(k) <= 64)
-        return found
+        full = len(self.known) >= REMEMBERED
+        self.passing += [u for u in found if full or len(u) > 64]
+        self.known.update(found)
+
+    def _forget(self) -> None:
+        for u in self.passing:
+            self.known.pop(u, None)
+        self.passing = []
 
     def encode(self, text: str) -> bytes:
         units, known = self._units(text), self.known
         try:
             return b"".join(map(known.__getitem__, units))
         except KeyError:
-            found = self._learn({u for u in units if u not in known})
-            return b"".join([known[u] if u in known else found[u] for u in units])
+            if len(self.passing) > REMEMBERED // 4:
+                self._forget()
+            self._learn(set(filterfalse(known.__contains__, units)))
+            return b"".join(map(known.__getitem__, units))
+
+    def learn_from(self, text: str) -> None:
+        """Get ready for texts that this one is made of: one by one, they would be slower to learn."""
+        self._forget()
+        self._learn(set(filterfalse(self.known.__contains__, self._units(text))))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(texts):
+            end, held = begin, 0
+            while end < len(texts) and (end == begin or held + len(texts[end]) <= TOGETHER):
+                held += len(texts[end])
+                end += 1
+            units = [self._units(t) for t in texts[begin:end]]
+            self._forget()
+            self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(units))))
+            out += [b"".join(map(self.known.__getitem__, u)) for u in units]
+            begin = end
+        return out
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, self.dtype)

@@ -202,6 +202,7 @@ def encode(docs: DataFrame, tokenizer: str, output: str = "digest") -> DataFrame
             ids, sent = batch.column(0).to_pylist(), set()
             for row, _, data, at in text_blocks(batch.column(1)):
                 rows = []
+                codec_.learn_from(data.tobytes().decode())
                 for i, parts in enumerate(chunks(data, at), row):
                     uid += 1
                     keys = [_halves(xxhash.xxh3_128_digest(x)) if len(x) >= SHORTEST else None for x in parts]

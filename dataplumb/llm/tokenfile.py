@@ -98,7 +98,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
         for batch in batches:
             ids = batch.column(0)
             part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-            data = [codec_.encode(t or "") + ending for t in batch.column(1).to_pylist()]
+            data = [x + ending for x in codec_.encode_many([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(data, pa.binary())], names=["part", "doc_id", "data"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
