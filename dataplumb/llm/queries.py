@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile
+from . import bpe, hnsw, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile
 from ._common import documents
 
 
@@ -20,6 +20,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir))
 
@@ -74,6 +78,7 @@ FROM joined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
