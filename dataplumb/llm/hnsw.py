@@ -5,7 +5,7 @@ holds a share of the nodes of the one below, is built from the top down, in batc
 its nearest nodes in several directions. Every shard is queried with the nodes of every shard: pairs of shards are
 the units of work, searched both ways. A search keeps a beam of the best nodes met; for each pair of shards an audit
 compares the links found for some queries with those of a full scan, and beams are widened until it passes; a beam that is full
-of links is widened for that query, at last to the whole shard. Candidates are verified by their cosine in
+of links is widened to the whole shard for that query. Candidates are verified by their cosine in
 double precision, counted for both ends, and a spanning forest of the links goes on to the components, so that
 what a task emits grows with its nodes only.
 
@@ -190,27 +190,33 @@ def near(graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     n, todo, width = len(graph.ids), np.arange(len(queries)), BEAM
     picked = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)) if len(queries) else todo
-    truth = scan(graph, queries[picked])
-    while len(todo):
-        full = []
+    truth = dict(zip(picked.tolist(), scan(graph, queries[picked]), strict=True))
+
+    def look_at_all(rows: np.ndarray) -> None:
+        for at in range(0, len(rows), QUERIES_AT_ONCE):
+            part = rows[at : at + QUERIES_AT_ONCE]
+            for k, x in zip(part, scan(graph, queries[part]), strict=True):
+                out[k] = x
+
+    while len(todo) and 4 * width < n:
+        full = [todo[:0]]
         for at in range(0, len(todo), QUERIES_AT_ONCE):
             part = todo[at : at + QUERIES_AT_ONCE]
-            if 4 * width >= n:  # the beam is as wide as the shard
-                found = scan(graph, queries[part])
-                for k, x in zip(part, found, strict=True):
-                    out[k] = x
-                continue
             entry = descend(graph.unit, graph.layers[1:], queries[part])
             ids, sims = beam_search(graph.unit, graph.layers[0], queries[part], entry, width, n)
             good = sims >= LEAST - SLACK
             for k, i, g in zip(part, ids, good, strict=True):
                 out[k] = i[g]
             full.append(part[good.all(1)])
-        total = sum(len(t) for t in truth)
-        passed = 4 * width >= n or sum(len(np.intersect1d(out[k], t)) for k, t in zip(picked, truth, strict=True)) >= RECALL * total
-        if passed:
-            todo = np.concatenate(full) if full else todo[:0]
+        # A beam that is full of links is widened to the whole shard at once.
+        look_at_all(np.concatenate(full))
+        todo = np.setdiff1d(todo, np.concatenate(full))
+        audited = [k for k in truth if k in set(todo.tolist())]
+        found = sum(len(np.intersect1d(out[k], truth[k])) for k in audited)
+        if found >= RECALL * sum(len(truth[k]) for k in audited):
+            return out
         width *= WIDEN
+    look_at_all(todo)
     return out
 
 
