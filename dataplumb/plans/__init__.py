@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks
+from . import checks, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**checks.QUERIES}
-ORACLES: dict[str, str] = {**checks.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**checks.QUERIES, **tables.QUERIES}
+ORACLES: dict[str, str] = {**checks.ORACLES, **tables.ORACLES}
