@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, scalars, tables
+from . import anomalies, checks, personal, scalars, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**checks.QUERIES, **tables.QUERIES, **scalars.QUERIES}
-ORACLES: dict[str, str] = {**checks.ORACLES, **tables.ORACLES, **scalars.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**checks.QUERIES, **tables.QUERIES, **scalars.QUERIES, **anomalies.QUERIES, **personal.QUERIES}
+ORACLES: dict[str, str] = {**checks.ORACLES, **tables.ORACLES, **scalars.ORACLES, **anomalies.ORACLES, **personal.ORACLES}
