@@ -26,12 +26,12 @@ def _same(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType, toleranc
     return a.cast("string").eqNullSafe(b.cast("string"))
 
 
-def _keyed(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """A table with a marker; a key that stands twice is an error when the query runs."""
+def _twice(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """No row; but a key that stands twice is an error when the query runs."""
     counted = df.groupBy(*(F.col(quoted(k)) for k in keys)).agg(F.count("*").alias("_n"))
     text = F.concat_ws(", ", *(F.coalesce(F.col(quoted(k)).cast("string"), F.lit("NULL")) for k in keys))
-    twice = counted.where("_n > 1").limit(1).select(F.raise_error(F.concat(F.lit(f"duplicate key in {what}: "), text)).cast("boolean").alias("_bad"))
-    return df, twice
+    twice = counted.where("_n > 1").limit(1).where(F.raise_error(F.concat(F.lit(f"duplicate key in {what}: "), text)).cast("string").isNotNull()).select("_n")
+    return twice
 
 
 def joindiff(source: Relation, target: Relation, keys: str | list[str], compare_columns: list[str] | None = None, include_all: bool = False, float_tolerance: float = 0.0, float_precision: int | None = None) -> DataFrame:
@@ -56,10 +56,8 @@ def joindiff(source: Relation, target: Relation, keys: str | list[str], compare_
     kinds_s, kinds_t = ({f.name.lower(): f.dataType for f in df.schema} for df in (s, t))
     frames = []
     for df, names, mark, what in ((s, source_keys, "s", relation_name(source, "source")), (t, key_names, "t", relation_name(target, "target"))):
-        rows, twice = _keyed(df, names, what)
-        marked = rows.select(F.lit(True).alias(f"_{mark}"), *(F.col(quoted(c)).alias(f"{mark}_{c.lower()}") for c in rows.columns))
-        # Never has a row unless it raises.
-        frames.append(marked.join(F.broadcast(twice), F.lit(True), "left_anti"))
+        marked = df.select(F.lit(True).alias(f"_{mark}"), *(F.col(quoted(c)).alias(f"{mark}_{c.lower()}") for c in df.columns))
+        frames.append(marked.join(F.broadcast(_twice(df, names, what)), F.lit(True), "left_anti"))
     a, b = frames
     on = [F.col(quoted(f"s_{x.lower()}")).eqNullSafe(F.col(quoted(f"t_{y.lower()}"))) for x, y in zip(source_keys, key_names, strict=True)]
     joined = a.join(b, on, "full_outer")
