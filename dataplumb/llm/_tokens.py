@@ -15,7 +15,7 @@ from itertools import chain, filterfalse
 import numpy as np
 
 #: Units that a process remembers at most; the first met are the most frequent ones.
-REMEMBERED = 700_000
+REMEMBERED = 800_000
 #: Characters of text whose new units are learnt together.
 TOGETHER = 1 << 21
 
@@ -195,10 +195,16 @@ class Codec:
             while end < len(texts) and (end == begin or held + len(texts[end]) <= TOGETHER):
                 held += len(texts[end])
                 end += 1
-            units = [self._units(t) for t in texts[begin:end]]
             self._forget()
-            self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(units))))
-            out += [b"".join(map(self.known.__getitem__, u)) for u in units]
+            units = [self._units(t) for t in texts[begin:end]]
+            # One look for each unit; what is not known yet is learnt together and filled in.
+            found = [list(map(self.known.get, u)) for u in units]
+            gaps = [[k for k, v in enumerate(f) if v is None] if None in f else [] for f in found]
+            self._learn({u[k] for u, g in zip(units, gaps, strict=True) for k in g})
+            for u, f, g in zip(units, found, gaps, strict=True):
+                for k in g:
+                    f[k] = self.known[u[k]]
+            out += map(b"".join, found)
             begin = end
         return out
 

@@ -117,10 +117,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = np.bincount(np.frombuffer(x, width), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
