@@ -155,7 +155,7 @@ def _aggregate(spec: Spec, df: DataFrame, today: dt.date) -> Column | None:
     return None
 
 
-def _single(spec: Spec, df: DataFrame, today: dt.date) -> tuple[DataFrame, Spec]:
+def _single(spec: Spec, df: DataFrame, whole: DataFrame, today: dt.date) -> tuple[DataFrame, Spec]:
     """(value) of one row for the other types; thresholds that the check computes go into the specification's place."""
     p, kind = spec.params, spec.check_type
     ref = p.get("reference_date") and day_tokens(str(p["reference_date"]), today).removeprefix("DATE ").strip("'")
@@ -180,7 +180,7 @@ def _single(spec: Spec, df: DataFrame, today: dt.date) -> tuple[DataFrame, Spec]
     if kind == "rolling_values_in_set":
         # The default date is that of the whole table, whatever the filter.
         date, allowed, name = _need(spec, "date_column", "allowed_values", "column_name")
-        ref = ref or relation(spec.table_name).agg(F.max(checks.day(relation(spec.table_name), date))).first()[0]
+        ref = ref or whole.agg(F.max(checks.day(whole, date))).first()[0]
         out = checks.rolling_values_in_set(df, name, allowed, date, int(p.get("window_days", 7)), 0.0, ref)
         return out.select(F.when(F.col("total_count") > 0, F.col("in_set_rate")).alias("value")), spec
     out = checks.metric_anomaly_iqr(df, _need(spec, "date_column")[0], p.get("metric_column"), int(p.get("window_days", 30)), float(p.get("k", 1.5)), "both", ref)
@@ -212,8 +212,12 @@ def _row(spec: Spec, value: Column, identifier: Column, low: Column | None = Non
     return F.struct(*(c.alias(k) for k, c in parts.items()))
 
 
-def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None) -> DataFrame:
-    """One row for each check, or for each value of its identifier column; by check_name and identifier, nulls last."""
+def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row for each check, or for each value of its identifier column; by check_name and identifier, nulls last.
+
+    tables: DataFrames by the names that the checks use; other names are tables and views of the session.
+    """
+    there = tables or {}
     now = run_ts or dt.datetime.now(dt.UTC).replace(tzinfo=None)
     spark, today = SparkSession.getActiveSession(), now.date()
     groups: dict[tuple, list[tuple[Spec, Column]]] = {}
@@ -221,12 +225,12 @@ def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None)
     for spec in read_specs(table):
         try:
             _check(spec)
-            df = relation(spec.table_name)
+            df = whole = there.get(spec.table_name) or relation(spec.table_name)
             if spec.filter_expr:
                 df = df.where(checks.expression(tolerant(day_tokens(spec.filter_expr, today))).cast("boolean"))
             value = _aggregate(spec, df, today)
             if value is None:
-                single, spec = _single(spec, df, today)
+                single, spec = _single(spec, df, whole, today)
                 bounds = [F.col("low"), F.col("high")] if "low" in single.columns else [None, None]
                 frame = single.select(_row(spec, F.col("value"), F.lit(None), *bounds).alias("r")).select("r.*")
                 frame.schema  # noqa: B018  analysis happens here
@@ -241,7 +245,7 @@ def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None)
             bad = (now, spec.check_name, spec.check_type, spec.table_name, spec.column_name, None, None, spec.lower_threshold, spec.upper_threshold, "error", f"check '{spec.check_name}' ({spec.check_type}) cannot run: {cause}")
             errors.append(bad)
     for (name, condition, identifier), members in groups.items():
-        df = relation(name)
+        df = there.get(name) or relation(name)
         note = None
         values = [v.alias(f"v{k}") for k, (_, v) in enumerate(members)]
         if condition:
