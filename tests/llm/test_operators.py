@@ -275,3 +275,19 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_line_dedup_crowded_buckets(spark):
+    """Families with a common opening, too unlike to be linked, and a near copy of each."""
+    rng = np.random.default_rng(3)
+    some = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(1500)]
+    opening, texts = some[:36], []
+    for k in range(150):
+        line = opening + some[36 + 8 * k : 44 + 8 * k]
+        near = list(line)
+        near[k % 30 + 2] = "another"
+        texts += [" ".join(line), " ".join(near)]
+    order = rng.permutation(len(texts))
+    rows = [(i, texts[i]) for i in order.tolist()]
+    found = {r.doc_id: r.n_dropped for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i % 2 for i in range(len(texts))}
