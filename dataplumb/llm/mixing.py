@@ -70,7 +70,7 @@ def _end(cells: DataFrame, cell: str) -> DataFrame:
     """For each source the cell in which its words reach the rest, and the words of the cells before."""
     run = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
     ran = cells.withColumn("upto", F.col("done") + F.sum("words").over(run))
-    ran = ran.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+    ran = ran.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
     return ran.select("source", cell, (F.col("upto") - F.col("words")).alias("done"))
 
 

@@ -12,6 +12,8 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from dataplumb.llm import bpe, hnsw, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile  # noqa: E402
 from dataplumb.llm._common import components  # noqa: E402
 
@@ -291,3 +293,14 @@ def test_line_dedup_crowded_buckets(spark):
     rows = [(i, texts[i]) for i in order.tolist()]
     found = {r.doc_id: r.n_dropped for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: i % 2 for i in range(len(texts))}
+
+
+def test_mixing_meets_rest(spark):
+    """Running sums that equal the rest exactly: of few documents between cells, of many within one too."""
+    rows = [(i, "a" if i < 4 else "b", "w " * 75) for i in range(12)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1,)).collect()
+    assert {s: sum(r.taken for r in out if r.source == s) for s in "ab"} == {"a": 450, "b": 450}
+    many = spark.range(27_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 9_000, "a").otherwise("b").alias("source"), F.lit("w").alias("text"))
+    for seed in ("", "x"):
+        out = mixing.mix(many, weights=(1,), seed=seed)
+        assert {r.source: (r.taken, r.nulls) for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.count_if(F.col("copies").isNull()).alias("nulls")).collect()} == {"a": (13_500, 0), "b": (13_500, 0)}
