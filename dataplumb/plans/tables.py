@@ -86,7 +86,7 @@ def _numeric(name: str) -> str:
 
 @query(_numeric("c_acctbal") + f" UNION ALL SELECT 'c_name', count(*), count(*) - count(c_name), count(DISTINCT c_name), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(avg(length(c_name)), 6), max(length(c_name)), 'mixed', true FROM {_CUSTOMER}")
 def profile_columns(spark, sf_dir):
-    out = profile.profile_table(_customer(spark, sf_dir), ["c_acctbal", "c_name"])
+    out = profile.profile_table(_customer(spark, sf_dir), ["c_acctbal", "c_name"], exact=True)
     rounded = {c: F.round(c, 6) for c in ("mean", "median", "stddev", "p25", "p75", "skewness", "kurtosis", "avg_length")}
     return out.withColumns(rounded).select("column_name", "row_count", "null_count", "distinct_count", *rounded, "zero_count", "negative_count", "max_length", "pattern_summary", "is_unique")
 

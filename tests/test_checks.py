@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from dataplumb.operators import anomaly, checks, diff, profile, suite
 
@@ -103,3 +104,14 @@ def test_anomalies(spark):
     values = spark.createDataFrame([(i, float(i % 10)) for i in range(300)] + [(999, 1e6)], "id int, v double")
     flagged = anomaly.isolation_forest(values, "v", 50, 256, 0.01, "scores", 1, "id").where("is_anomaly").collect()
     assert 999 in {r.id for r in flagged}
+
+
+def test_profile_query_counts_all_rows(spark, tmp_path):
+    from dataplumb.plans import QUERIES
+
+    n = 1_000_400
+    names = F.concat(F.lit("c"), F.col("id").cast("string")).alias("c_name")
+    spark.range(1, n + 1).select(F.col("id").alias("c_custkey"), names, F.lit("BUILDING").alias("c_mktsegment"), (F.col("id") % 7).cast("double").alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = {r.column_name: r for r in QUERIES["profile_columns"](spark, str(tmp_path)).collect()}
+    assert {r.row_count for r in rows.values()} == {n}
+    assert (rows["c_name"].null_count, rows["c_name"].distinct_count) == (n // 10, n - n // 10)
