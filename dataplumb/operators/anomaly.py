@@ -126,9 +126,9 @@ def _forest(table: Relation, columns: list[str], n_trees: int, sample_size: int,
     inside = F.lit(True)
     for c in names:
         inside = inside & finite(F.col(c))
-    # The driver gets one bounded random sample, not the rows.
+    # The driver gets one bounded random sample of rows (not of values, of which equal ones hash alike).
     most = min(n_trees * sample_size, 200_000)
-    sample = rows.where(inside).select(*names).orderBy(F.xxhash64(*names, F.lit(seed or 0))).limit(most).toPandas().to_numpy(float)
+    sample = rows.where(inside).orderBy(F.xxhash64("row_id", F.lit(seed or 0)), "row_id").limit(most).select(*names).toPandas().to_numpy(float)
     if not len(sample):
         return rows.withColumn("anomaly_score", F.lit(1.0)).withColumn("is_anomaly", F.lit(True))
     sent = df.sparkSession.sparkContext.broadcast(Forest(sample, n_trees, sample_size, seed))
