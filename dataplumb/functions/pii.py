@@ -49,6 +49,47 @@ def _ip(v: str) -> bool:
     return all(int(x) <= 255 for x in v.split("."))
 
 
+def _is_ipv6(v: str) -> bool:
+    """Eight groups, one :: for some of them, an IPv4 address for the last two; one decimal digit at least (a::b is code)."""
+    if ":::" in v or v.count("::") > 1 or not re.search("[0-9]", v):
+        return False
+    parts = [p for side in v.split("::") if side for p in side.split(":")]
+    groups = len(parts)
+    if parts and "." in parts[-1]:
+        if not re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", parts[-1]) or not _ip(parts[-1]) or v.endswith("::"):
+            return False
+        parts, groups = parts[:-1], groups + 1
+    return all(re.fullmatch("[0-9A-Fa-f]{1,4}", p) for p in parts) and (1 <= groups <= 7 if "::" in v else groups == 8)
+
+
+def _ipv6(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the IPv6 addresses, with their zones; label colons and full stops beside them are left out."""
+    found, at = [], 0
+    if text.count(":") < 2:
+        return found
+    while m := _IPV6_RUN.search(text, at):
+        (a, b), at = m.span(), m.end()
+        run_end = b
+        if m[0].count(":") < 2:
+            continue
+        if text[a] == ":" and text[a + 1] != ":":
+            a += 1
+        elif a and _ASCII_WORD.match(text, a - 1):
+            continue
+        while b > a and text[b - 1] == ".":
+            b -= 1
+        if b - a >= 2 and text[b - 1] == ":" and text[b - 2] != ":":
+            b -= 1
+        if _ASCII_WORD.match(text, run_end) or not _is_ipv6(text[a:b]):
+            continue
+        if b == run_end and (zone := _ZONE.match(text, b)):
+            b = at = zone.end()
+        found.append((a, b))
+    return found
+
+
+_IPV6_RUN, _ASCII_WORD, _ZONE = re.compile("[0-9A-Fa-f:.]{2,}"), re.compile("[A-Za-z0-9_]"), re.compile("%[A-Za-z0-9_.-]+")
+
 #: Types in order, each with its pattern and validator.
 TYPES = {
     "EMAIL": (re.compile(r"(?<![\w.+-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"), None),
@@ -72,6 +113,8 @@ def matches(text: str, types: tuple[str, ...] | None = None) -> list[tuple[str,
     for order, (name, (pattern, valid)) in enumerate(TYPES.items()):
         if types is None or name in types:
             found += [(m.start(), -m.end(), order, name) for m in pattern.finditer(text) if valid is None or valid(m[0])]
+            if name == "IP_ADDRESS":
+                found += [(a, -b, order, name) for a, b in _ipv6(text)]
     out, end = [], 0
     for a, b, _, name in sorted(found):
         if a >= end:
@@ -96,6 +139,9 @@ def _partial(name: str, v: str) -> str:
         masked = ("+" if v.startswith("+") else "") + "***-***-" + (d[-4:] if len(d) >= 8 else "*" * min(4, len(d)))
     elif name == "US_SSN":
         masked = "***-**-" + v[-4:]
+    elif name == "IP_ADDRESS" and ":" in v:
+        first, _, rest = v.partition(":")
+        masked = first + ":" + re.sub("[0-9A-Za-z]", "*", rest)
     elif name == "IP_ADDRESS":
         first, *rest = v.split(".")
         masked = ".".join([first, *("*" * len(r) for r in rest)])

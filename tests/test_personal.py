@@ -33,3 +33,21 @@ def test_pii(spark):
     assert "4111********1111" in rows[0].m and "192.***.*.***" in rows[0].m
     assert [r.n for r in rows] == [5, None, 0] and rows[0].p == 3
     assert pii.masked_value("x", "EMAIL", "hash") == "2d711642b726b044"
+
+
+def test_ipv6():
+    for v in ("2001:db8::1", "::1", "1::", "fe80::1%eth0", "::ffff:192.0.2.1", "2001:0db8:0:0:0:0:0:1", "64:ff9b::192.0.2.33"):
+        text = f"é from {v}, host"
+        assert [(t, text[a:b]) for t, a, b in pii.matches(text)] == [("IP_ADDRESS", v)]
+        assert [(t, a) for t, a, _ in pii.matches(f"IP:{v}.")] == [("IP_ADDRESS", 3)] or v.startswith(":") or v.endswith(":") or "%" in v
+    for text in ("at 12:30:45", "std::vector", "a::b", "1:2:3:4:5:6:7", "1::2::3", ":::1", "x2001:db8::1", "12345::1", "1:2:3:4:5:6:7:8:9"):
+        assert pii.matches(text, ("IP_ADDRESS",)) == []
+    assert pii.masked_value("2001:db8::1", "IP_ADDRESS", "partial") == "2001:***::*"
+
+
+def test_address_query_keeps_all_rows(spark, tmp_path):
+    from dataplumb.plans import QUERIES
+
+    texts = [None, "none", "at ::1 and fe80::2", "10.0.0.1."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n for r in QUERIES["pii_addresses"](spark, str(tmp_path)).collect()} == {0: None, 1: 0, 2: 2, 3: 1}
