@@ -304,3 +304,18 @@ def test_mixing_meets_rest(spark):
     for seed in ("", "x"):
         out = mixing.mix(many, weights=(1,), seed=seed)
         assert {r.source: (r.taken, r.nulls) for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.count_if(F.col("copies").isNull()).alias("nulls")).collect()} == {"a": (13_500, 0), "b": (13_500, 0)}
+
+
+def test_line_dedup_compares_all_characters(spark):
+    texts = [
+        "https://example.org/first/page/about/rivers",
+        "https://example.net/other/place/with/stones",
+        "Contact: alexandra.brown@x.org",
+        "Contact: alexandrine.k@elsewhere.net",
+        "百川东到海何时复西归少壮不努力老大徒伤悲青青园中葵朝露待日晞",
+        "百川东到海何时复西明月几时有把酒问青天不知天上宫阙今夕是何年",
+        "https://example.org/a/long/page/about/rivers/and/mills/and/quiet/farms/of/old/times/1",
+        "https://example.org/a/long/page/about/rivers/and/mills/and/quiet/farms/of/old/times/2",
+    ]
+    found = {r.doc_id: r.n_dropped for r in linededup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: int(i == 7) for i in range(len(texts))}
