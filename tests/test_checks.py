@@ -120,5 +120,5 @@ def test_profile_query_counts_all_rows(spark, tmp_path):
 def test_forest_samples_rows(spark):
     """Of few distinct values too, of which the first by hash alone would fill a sample."""
     values = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, 50.0).otherwise((F.col("id") % 2).cast("double")).alias("v"))
-    flagged = anomaly.isolation_forest(values, "v", 50, 64, 0.02, "scores", 1, "id").where("is_anomaly").collect()
+    flagged = anomaly.isolation_forest(values, "v", 50, 64, 0.02, "scores", 2, "id").where("is_anomaly").collect()
     assert {r.value for r in flagged} == {50.0} and len(flagged) == 200
