@@ -6,9 +6,11 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._base import quoted
+
 #: A word: a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,6 +61,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """df's own columns, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that none of df's columns has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), as (node, component) with the smallest node of each.
 
@@ -86,7 +99,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select("v", F.col("v").alias("w")).distinct()).select(F.col("node").cast(kind), F.col("component").cast(kind))
+    out = nodes.union(now.select("v", F.col("v").alias("w")).distinct()).select(F.col("node").cast(kind), F.col("component").cast(kind))
+    out._stored_path = now._stored_path
+    return out
 
 
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
