@@ -10,7 +10,7 @@ import functools
 import json
 import os
 import re
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 
@@ -18,12 +18,13 @@ import numpy as np
 REMEMBERED = 800_000
 #: Characters of text whose new units are learnt together.
 TOGETHER = 1 << 21
+#: Characters of new units that are encoded as one text.
+JOINED = 1 << 16
 
 #: White space other than space, tab and line ends: tokenizers and re don't agree on all of it.
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
-#: What _learn takes apart by itself: letters of Latin-1, then marks; an optional space before them.
-_NONE = 1 << 40
-_PLAIN = re.compile("( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+#: What stands between units that are encoded together where spaces are dropped: a token of its own.
+_MARK = " | "
 _UNITS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -57,7 +58,15 @@ class Codec:
             names = {i: t for t, i in tokens.items()}
             self.joined = Strings([names.get(i, "").encode() for i in range(self.size)], [i in names for i in range(self.size)])
         self.digits = Strings([b"%d" % i for i in range(self.size)])
-        self.merges = bool(self.split) and self.dtype.itemsize == 2 and self._merges(spec["model"])
+        # How many bytes each token stands for, if it is of bytes; the mark between units.
+        self.sizes = np.zeros(self.size, np.int64)
+        added = {t["id"] for t in spec["added_tokens"]}
+        for t, i in tokens.items():
+            self.sizes[i] = len(t.encode()) if i in added else len(t)
+        self.mark = -1
+        if self.split == "drops spaces":
+            found = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+            self.mark = found[0] if len(found) == 1 else -1
 
     @staticmethod
     def _drops_spaces(pre: dict, normal: dict | None) -> bool:
@@ -82,90 +91,59 @@ class Codec:
             return _UNITS.findall(text)
         return [text]
 
-    def _merges(self, model: dict) -> bool:
-        """Sets what _spell needs; False if the model isn't one of plain merges over bytes."""
-        if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
-            return False
-        vocab, ending = model["vocab"], model.get("end_of_word_suffix") or ""
-        # Bytes as the byte-level alphabet writes them: printable ones as themselves, the others from U+0100 on.
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        other = iter(range(256, 512))
-        letters = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
-        self.alphabet = np.array([vocab.get(c, -1) for c in letters], np.int64)
-        self.endings = np.array([vocab.get(c + ending, -1) for c in letters], np.int64)
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        rank_of: dict[int, int] = {}
-        for rank, (a, b) in enumerate(pairs):
-            rank_of.setdefault(vocab[a] << 16 | vocab[b], rank)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.keys = np.array(sorted(rank_of), np.int64)
-        self.ranks = np.array([rank_of[k] for k in self.keys.tolist()], np.int64)
-        return bool(len(pairs)) and min(self.alphabet.min(), self.endings.min()) >= 0
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Of the merges of pairs; _NONE where there is none or nothing on the right."""
-        key = left << 16 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], _NONE)
-
-    def _spell(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that the tokenizer looks at alone: bytes, joined by the merge of the lowest rank, leftmost first.
-
-        Many pieces of about one length are done at once: in each round every piece makes one merge.
+    def _apart(self, units: list[str]) -> None:
+        """Make units known through the library, each for itself."""
+        encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        self.known.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(units, encoded, strict=True))
+
+    def _together(self, units: list[str]) -> list[str]:
+        """Make units known by encoding them as one text, which the library does much faster. Returns those for which it failed.
+
+        Where spaces are dropped a mark stands between two units, and its id tells where one ends. Where they are kept, bytes
+        are counted: a token never goes on from a unit into the next one, which begins with white space.
         """
-        found: dict[str, bytes] = {}
-        coded = sorted(((p.encode(), p) for p in pieces), key=lambda x: len(x[0]))
-        for begin in range(0, len(coded), 4096):
-            some = coded[begin : begin + 4096]
-            size = np.array([len(d) for d, _ in some])
-            width, rows = int(size[-1]), np.arange(len(some))
-            place = np.arange(width)
-            inside = place < size[:, None]
-            ids = np.full((len(some), width + 1), -1, np.int64)
-            data = np.frombuffer(b"".join(d for d, _ in some), np.uint8)
-            ids[:, :width][inside] = self.alphabet[data]
-            ids[rows, size - 1] = self.endings[data[np.cumsum(size) - 1]]
-            ranks = np.full((len(some), width + 1), _NONE)
-            ranks[:, :width] = self._rank(ids[:, :-1], ids[:, 1:])
-            live = rows
-            while len(live):
-                at = ranks[live].argmin(1)
-                least = ranks[live, at]
-                live, at, least = (x[least < _NONE] for x in (live, at, least))
-                if not len(live):
-                    break
-                ids[live, at] = self.merged[least]
-                take = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > at[:, None]), width)
-                ids[live] = np.take_along_axis(ids[live], take, 1)
-                ranks[live] = np.take_along_axis(ranks[live], take, 1)
-                ranks[live, at] = self._rank(ids[live, at], ids[live, at + 1])
-                back = at > 0
-                ranks[live[back], at[back] - 1] = self._rank(ids[live[back], at[back] - 1], ids[live[back], at[back]])
-            size = (ids >= 0).sum(1)
-            flat, ends = ids[ids >= 0].astype(self.dtype).tobytes(), np.cumsum(size) * self.dtype.itemsize
-            for (_, p), a, b in zip(some, (ends - size * self.dtype.itemsize).tolist(), ends.tolist(), strict=True):
-                found[p] = flat[a:b]
-        return found
+        if self.split == "drops spaces":
+            ids = np.array(self.tokenizer.encode_batch_fast([_MARK.join(units)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            begins = np.append(0, ends[:-1] + 1)
+            if len(ends) != len(units):
+                return units
+        else:
+            bare = [u[0] not in " \t\n\r" for u in units]
+            text = "".join(["\n" + u if b else u for u, b in zip(units, bare, strict=True)])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            sizes = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64) + bare
+            read, due = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
+            ends = np.searchsorted(read, due) + 1
+            begins = np.append(0, ends[:-1])
+            if ends[-1] != len(ids) or (read[ends - 1] != due).any() or (self.sizes[ids[begins[bare]]] != 1).any():
+                return units
+            begins = begins + bare
+        data, width = ids.tobytes(), self.dtype.itemsize
+        self.known.update(zip(units, [data[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
+        return []
 
     def _learn(self, units: set[str]) -> None:
-        """Make new units known: plain words by the merges, all others by the library."""
-        found, todo, plain = {}, [], []
-        drops = self.split == "drops spaces"
-        for u in units:
-            m = _PLAIN.fullmatch(u) if self.merges and len(u) <= 64 else None
-            if m:
-                plain.append((u, m[2].lower() if drops else m[1] + m[2], m[3]))
-            else:
-                todo.append(u)
-        spelled = self._spell(list({p for _, a, b in plain for p in (a, b) if p}))
-        for u, word, marks in plain:
-            found[u] = spelled[word] + spelled[marks] if marks else spelled[word]
-        if todo:
-            encoded = self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)
-            found.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(todo, encoded, strict=True))
+        """Make new units known."""
         full = len(self.known) >= REMEMBERED
-        self.passing += [u for u in found if full or len(u) > 64]
-        self.known.update(found)
+        self.passing += [u for u in units if full or len(u) > 64]
+        if not self.split:
+            return self._apart(list(units))
+        odd = "|" if self.split == "drops spaces" else ""
+        apart, some, held = [], [], 0
+        for u in units:
+            if (odd and (odd in u or not u)) or u.isspace():
+                apart.append(u)
+                continue
+            some.append(u)
+            held += len(u)
+            if held > JOINED:
+                apart += self._together(some)
+                some, held = [], 0
+        if some:
+            apart += self._together(some)
+        if apart:
+            self._apart(apart)
 
     def _forget(self) -> None:
         for u in self.passing:
