@@ -10,14 +10,16 @@ import functools
 import json
 import os
 import re
+from collections.abc import Iterable
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+
+from ._blocks import table_of
 
 #: Units that a process remembers at most; the first met are the most frequent ones.
 REMEMBERED = 800_000
-#: Characters of text whose new units are learnt together.
-TOGETHER = 1 << 21
 #: Characters of new units that are encoded as one text.
 JOINED = 1 << 16
 
@@ -25,6 +27,7 @@ JOINED = 1 << 16
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 #: What stands between units that are encoded together where spaces are dropped: a token of its own.
 _MARK = " | "
+_SPACES = table_of(b" \t\n\r")
 _UNITS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -46,6 +49,7 @@ class Codec:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.passing: list[str] = []  # units that are known for now only
+        self.coded: dict[bytes, bytes] = {}  # as known, by bytes, for encode_block
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.split = ""
         if not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]) and not spec.get("post_processor"):
@@ -91,13 +95,13 @@ class Codec:
             return _UNITS.findall(text)
         return [text]
 
-    def _apart(self, units: list[str]) -> None:
-        """Make units known through the library, each for itself."""
+    def _apart(self, units: list[str]) -> dict[str, bytes]:
+        """The units' ids by the library, each for itself."""
         encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        self.known.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(units, encoded, strict=True))
+        return {u: np.array(e.ids, self.dtype).tobytes() for u, e in zip(units, encoded, strict=True)}
 
-    def _together(self, units: list[str]) -> list[str]:
-        """Make units known by encoding them as one text, which the library does much faster. Returns those for which it failed.
+    def _together(self, units: list[str]) -> dict[str, bytes]:
+        """The units' ids by encoding them as one text, which the library does much faster; none if that can't be.
 
         Where spaces are dropped a mark stands between two units, and its id tells where one ends. Where they are kept, bytes
         are counted: a token never goes on from a unit into the next one, which begins with white space.
@@ -107,7 +111,7 @@ class Codec:
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             begins = np.append(0, ends[:-1] + 1)
             if len(ends) != len(units):
-                return units
+                return {}
         else:
             bare = [u[0] not in " \t\n\r" for u in units]
             text = "".join(["\n" + u if b else u for u, b in zip(units, bare, strict=True)])
@@ -117,33 +121,39 @@ class Codec:
             ends = np.searchsorted(read, due) + 1
             begins = np.append(0, ends[:-1])
             if ends[-1] != len(ids) or (read[ends - 1] != due).any() or (self.sizes[ids[begins[bare]]] != 1).any():
-                return units
+                return {}
             begins = begins + bare
         data, width = ids.tobytes(), self.dtype.itemsize
-        self.known.update(zip(units, [data[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
-        return []
+        return dict(zip(units, [data[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist(), strict=True)], strict=True))
 
-    def _learn(self, units: set[str]) -> None:
-        """Make new units known."""
-        full = len(self.known) >= REMEMBERED
-        self.passing += [u for u in units if full or len(u) > 64]
-        if not self.split:
-            return self._apart(list(units))
+    def _learn(self, units: Iterable[str]) -> dict[str, bytes]:
+        """The ids of new units, each given once."""
         odd = "|" if self.split == "drops spaces" else ""
+        found: dict[str, bytes] = {}
         apart, some, held = [], [], 0
+
+        def flush() -> None:
+            made = self._together(some) if some else {}
+            found.update(made)
+            if not made:
+                apart.extend(some)
+
         for u in units:
-            if (odd and (odd in u or not u)) or u.isspace():
+            if not self.split or not u or (odd and odd in u) or u.isspace():
                 apart.append(u)
                 continue
             some.append(u)
             held += len(u)
             if held > JOINED:
-                apart += self._together(some)
+                flush()
                 some, held = [], 0
-        if some:
-            apart += self._together(some)
-        if apart:
-            self._apart(apart)
+        flush()
+        return found | self._apart(apart) if apart else found
+
+    def _remember(self, units: set[str]) -> None:
+        full = len(self.known) >= REMEMBERED
+        self.passing += [u for u in units if full or len(u) > 64]
+        self.known.update(self._learn(units))
 
     def _forget(self) -> None:
         for u in self.passing:
@@ -157,34 +167,58 @@ class Codec:
         except KeyError:
             if len(self.passing) > REMEMBERED // 4:
                 self._forget()
-            self._learn(set(filterfalse(known.__contains__, units)))
+            self._remember(set(filterfalse(known.__contains__, units)))
             return b"".join(map(known.__getitem__, units))
 
     def learn_from(self, text: str) -> None:
         """Get ready for texts that this one is made of: one by one, they would be slower to learn."""
         self._forget()
-        self._learn(set(filterfalse(self.known.__contains__, self._units(text))))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        begin = 0
-        while begin < len(texts):
-            end, held = begin, 0
-            while end < len(texts) and (end == begin or held + len(texts[end]) <= TOGETHER):
-                held += len(texts[end])
-                end += 1
-            self._forget()
-            units = [self._units(t) for t in texts[begin:end]]
-            # One look for each unit; what is not known yet is learnt together and filled in.
-            found = [list(map(self.known.get, u)) for u in units]
-            gaps = [[k for k, v in enumerate(f) if v is None] if None in f else [] for f in found]
-            self._learn({u[k] for u, g in zip(units, gaps, strict=True) for k in g})
-            for u, f, g in zip(units, found, gaps, strict=True):
-                for k in g:
-                    f[k] = self.known[u[k]]
-            out += map(b"".join, found)
-            begin = end
-        return out
+        self._remember(set(filterfalse(self.known.__contains__, self._units(text))))
+
+    def _cut(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the units of the texts begin (see _units); a text for which they aren't certain is one unit."""
+        first = at[:-1][np.diff(at) > 0]
+        if self.split != "keeps spaces":
+            return first
+        space = _SPACES[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = space[1:] & ~space[:-1]
+        if _RARE_SPACE.search(data.tobytes().decode()):
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if _RARE_SPACE.search(data[a:b].tobytes().decode()):
+                    begins[a:b] = False
+        begins[first] = True
+        return np.flatnonzero(begins)
+
+    def encode_block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (bytes and offsets) one behind the other, and how many each has.
+
+        Equal units of the block are found in compiled code, so that each is looked up once.
+        """
+        begins = self._cut(data, at)
+        offsets = pa.py_buffer(np.append(begins, len(data)).astype(np.int64))
+        units = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        found = list(map(self.coded.get, distinct))
+        gaps = [k for k, v in enumerate(found) if v is None]
+        if gaps:
+            new = [distinct[k].decode() for k in gaps]
+            learnt = self._learn(new)
+            room = REMEMBERED - len(self.coded)
+            for k, u in zip(gaps, new, strict=True):
+                found[k] = value = learnt[u]
+                if room > 0 and len(u) <= 64:
+                    self.coded[distinct[k]] = value
+                    room -= 1
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.array(list(map(len, found)), np.int64) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        nth = units.indices.to_numpy(zero_copy_only=False)
+        n = size[nth]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(start[nth] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        run = np.append(0, ends)[np.searchsorted(begins, at)]
+        return ids, np.diff(run)
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, self.dtype)

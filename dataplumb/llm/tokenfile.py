@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import text_blocks
 from ._common import drop_stored, fresh_path, release, stored
 from ._tokens import codec
 
@@ -36,6 +37,8 @@ MAGIC, VERSION = b"DPTK", 1
 HEADER = struct.Struct("<4sHIQQQ")
 #: A segment ends after the document that brings it to so many ids.
 SEGMENT = 1 << 17
+#: Bytes of text that are encoded together; a longer text comes alone.
+TOGETHER = 1 << 23
 
 #: Lengths of the four ranks of each control byte; and what of four bytes belongs to a rank of each length.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -83,6 +86,17 @@ def read_segment(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if null else i for i, null in zip(ids, nulls, strict=True)], counts, unpack(control, content[at : at + n_data], n), start
 
 
+def _flat(data: pa.Array, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one behind the other, and where each row's begin (and the last one's end)."""
+    data = data.cast(pa.large_binary())
+    if not len(data):
+        return np.zeros(0, width), np.zeros(1, np.int64)
+    _, at, raw = data.buffers()
+    at = np.frombuffer(at, np.int64)[data.offset : data.offset + len(data) + 1]
+    ids = np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view(width) if raw is not None else np.zeros(0, width)
+    return ids, (at - at[0]) // width.itemsize
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) -> None:
     """Encode docs(doc_id, text), append end_id to each document, and write segments and ranks below path."""
     spark = docs.sparkSession
@@ -94,17 +108,21 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec_ = codec(tokenizer)
-        ending = b"" if end_id is None else np.array([end_id], width).tobytes()
         for batch in batches:
-            ids = batch.column(0)
-            part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
-            data = [x + ending for x in codec_.encode_many([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(data, pa.binary())], names=["part", "doc_id", "data"])
+            for row, end, texts, at in text_blocks(batch.column(1), TOGETHER):
+                doc_ids = batch.column(0).slice(row, end - row)
+                part = np.searchsorted(bounds, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)).astype(np.int32)
+                ids, counts = codec_.encode_block(texts, at)
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                offsets = np.append(0, np.cumsum(counts)) * width.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(width))])
+                yield pa.RecordBatch.from_arrays([pa.array(part), doc_ids, data.cast(pa.binary())], names=["part", "doc_id", "data"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = start = 0
         for batch in batches:
-            counts = np.array([len(x) // width.itemsize for x in batch.column(2).to_pylist()], np.int64)
+            counts = np.diff(_flat(batch.column(2), width)[1])
             starts = start + np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(nth, nth + len(counts))), pa.array(starts), pa.array(counts)], names=["part", "doc_id", "data", "nth", "start", "n"])
             nth, start = nth + len(counts), start + int(counts.sum())
@@ -117,7 +135,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width), minlength=len(total))
+            found = np.bincount(_flat(batch.column(0), width)[0], minlength=len(total))
             found[: len(total)] += total
             total = found
         ids = np.flatnonzero(total)
@@ -137,14 +155,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, ids, data, nth, start, n = (c.to_pylist() for c in batch.columns)
+            part, ids, nth, start, n = (batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))
+            every, at = _flat(batch.column(2), width)
             names, contents, first = [], [], 0
             held = 0
             for k in range(len(part)):
                 held += n[k]
                 if k + 1 < len(part) and part[k + 1] == part[k] and nth[k + 1] == nth[k] + 1 and held < SEGMENT:
                     continue
-                ranks = rank_of[np.frombuffer(b"".join(data[first : k + 1]), width)]
+                ranks = rank_of[every[at[first] : at[k + 1]]]
                 names.append(f"part-{part[first]:06d}-{nth[first]:012d}")
                 contents.append(segment(ids[first : k + 1], n[first : k + 1], ranks, before[part[first]] + start[first]))
                 first, held = k + 1, 0
