@@ -3,13 +3,14 @@
 Equal vectors are one node with a count. Nodes are dealt to shards by a hash; each shard gets a graph of layers: a layer
 holds a share of the nodes of the one below, is built from the top down, in batches that double, and links each node to
 its nearest nodes in several directions. Every shard is queried with the nodes of every shard: pairs of shards are
-the units of work, searched both ways. A search keeps a beam of the best nodes met; for each pair of shards an audit
-compares the links found for some queries with those of a full scan, and beams are widened until it passes; a beam that is full
-of links is widened to the whole shard for that query. Candidates are verified by their cosine in
+the units of work, searched both ways. A search keeps a beam of the best nodes met; beams are widened until an audit
+passes: they must find the nodes of probes, queries made to be just as near as a link asks, so that there is something to find
+where links are rare, and of some queries all links that a full scan shows. A beam that is full of links is
+widened to the whole shard for that query. Candidates are verified by their cosine in
 double precision, counted for both ends, and a spanning forest of the links goes on to the components, so that
 what a task emits grows with its nodes only.
 
-The number of shards is SHARDS, or what keeps a shard within SHARD_ROWS, which bounds a task's memory. Work grows as nodes
+The number of shards is SHARDS, or what keeps a shard within SHARD_ROWS and SHARD_BYTES, which bounds a task's memory. Work grows as nodes
 times shards.
 
 Defined cases: a vector that is null, empty, zero or holds a null or a number that isn't finite is linked with nothing
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 
 from ._common import components, drop_stored, stored
 
-SHARDS, SHARD_ROWS = 8, 1 << 16
+#: Shards at least; nodes of a shard and bytes of its vectors at most, in the mean.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 1 << 16, 1 << 26
 #: Links of a node (twice as many in the lowest layer), share of a layer that is in the next one, beams.
 LINKS, LAYER_SHARE, BUILD_BEAM, BEAM, WIDEN, EXPAND = 12, 16, 48, 48, 4, 4
-#: Queries that an audit looks at, and the share of their links that must have been found.
+#: Queries and probes that an audit looks at, and the share that must have been found.
 AUDIT, RECALL = 64, 0.99
 QUERIES_AT_ONCE = 256
 LEAST = 0.95
@@ -185,12 +187,46 @@ def scan(graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(row) for row in (queries @ graph.unit.T >= LEAST - SLACK)]
 
 
-def near(graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
-    """The nodes found near each query."""
+def probes(graph: Graph) -> tuple[np.ndarray, np.ndarray]:
+    """AUDIT nodes, and for each a query whose cosine to it is just LEAST: what a beam must be able to find, links or not."""
+    n = len(graph.ids)
+    draw = np.random.default_rng(n)
+    nodes = np.unique(draw.integers(0, n, AUDIT))
+    base = graph.unit[nodes].astype(np.float64)
+    turn = draw.standard_normal(base.shape)
+    turn -= (turn * base).sum(1, keepdims=True) * base
+    turn /= np.maximum(np.sqrt((turn * turn).sum(1, keepdims=True)), 1e-12)
+    return nodes, (LEAST * base + np.sqrt(1 - LEAST * LEAST) * turn).astype(np.float32)
+
+
+def beams(graph: Graph, queries: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, ids, similarities) of the beams of some queries at a time."""
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        part = queries[at : at + QUERIES_AT_ONCE]
+        entry = descend(graph.unit, graph.layers[1:], part)
+        yield at, *beam_search(graph.unit, graph.layers[0], part, entry, width, len(graph.ids))
+
+
+def found_probes(graph: Graph, width: int) -> float:
+    """The share of the probes whose node their beam finds. A dimension of one has no directions to turn to."""
+    if graph.unit.shape[1] < 2:
+        return 0.0
+    nodes, queries = probes(graph)
+    return sum(int((ids == nodes[at : at + len(ids), None]).any(1).sum()) for at, ids, _ in beams(graph, queries, width)) / len(nodes)
+
+
+def near(graph: Graph, queries: np.ndarray, own: bool = False) -> list[np.ndarray]:
+    """The nodes found near each query; own: the queries are the graph's nodes, in order.
+
+    A width of the beams stands if it finds RECALL of the probes and of the true links (but those of a node with itself) of
+    AUDIT queries; else it is widened.
+    """
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     n, todo, width = len(graph.ids), np.arange(len(queries)), BEAM
     picked = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)) if len(queries) else todo
     truth = dict(zip(picked.tolist(), scan(graph, queries[picked]), strict=True))
+    if own:
+        truth = {k: x[x != k] for k, x in truth.items()}
 
     def look_at_all(rows: np.ndarray) -> None:
         for at in range(0, len(rows), QUERIES_AT_ONCE):
@@ -199,22 +235,21 @@ def near(graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
                 out[k] = x
 
     while len(todo) and 4 * width < n:
-        full = [todo[:0]]
-        for at in range(0, len(todo), QUERIES_AT_ONCE):
-            part = todo[at : at + QUERIES_AT_ONCE]
-            entry = descend(graph.unit, graph.layers[1:], queries[part])
-            ids, sims = beam_search(graph.unit, graph.layers[0], queries[part], entry, width, n)
-            good = sims >= LEAST - SLACK
-            for k, i, g in zip(part, ids, good, strict=True):
-                out[k] = i[g]
-            full.append(part[good.all(1)])
-        # A beam that is full of links is widened to the whole shard at once.
-        look_at_all(np.concatenate(full))
-        todo = np.setdiff1d(todo, np.concatenate(full))
-        audited = [k for k in truth if k in set(todo.tolist())]
-        found = sum(len(np.intersect1d(out[k], truth[k])) for k in audited)
-        if found >= RECALL * sum(len(truth[k]) for k in audited):
-            return out
+        if found_probes(graph, width) >= RECALL:
+            full = [todo[:0]]
+            for at, ids, sims in beams(graph, queries[todo], width):
+                part = todo[at : at + len(ids)]
+                good = sims >= LEAST - SLACK
+                for k, i, g in zip(part, ids, good, strict=True):
+                    out[k] = i[g]
+                full.append(part[good.all(1)])
+            # A beam that is full of links is widened to the whole shard at once.
+            look_at_all(np.concatenate(full))
+            todo = np.setdiff1d(todo, np.concatenate(full))
+            audited = [k for k in truth if k in set(todo.tolist())]
+            met = sum(len(np.intersect1d(out[k], truth[k])) for k in audited)
+            if met >= RECALL * sum(len(truth[k]) for k in audited):
+                return out
         width *= WIDEN
     look_at_all(todo)
     return out
@@ -228,7 +263,7 @@ def linked(left: Graph, right: Graph, same: bool) -> tuple[np.ndarray, np.ndarra
     def pairs(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
 
-    a, b = pairs(near(right, left.unit))
+    a, b = pairs(near(right, left.unit, own=same))
     if not same:
         b2, a2 = pairs(near(left, right.unit))
         a, b = np.concatenate([a, a2]), np.concatenate([b, b2])
@@ -275,7 +310,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     good = rows.where("k1 is not null and vec_id is not null")
     nodes = stored(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("data").alias("data")), "nodes")
     lengths = F.octet_length("data")
-    shards = max(SHARDS, -(-nodes.count() // SHARD_ROWS))
+    size = nodes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(lengths), F.lit(0)).alias("bytes")).first()
+    shards = max(SHARDS, -(-size["rows"] // SHARD_ROWS), -(-size["bytes"] // SHARD_BYTES))
     # A shard holds vectors of one length, in the order of a hash.
     dealt = nodes.select(F.pmod("k2", F.lit(shards)).cast("int").alias("shard"), lengths.alias("length"), "k1", "rep", "n", "data")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "length", "k1")
@@ -329,7 +365,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     parts = components(found.where("b is not null").select("a", "b"))
     known = nodes.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     known = stored(known.select("n1", "n2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
-    drop_stored(graphs, found)
+    drop_stored(graphs, found, nodes, parts)
     alike = (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("vec_id").isNotNull()
     out = rows.drop("data").join(known, alike, "left")
     component = F.coalesce("component", "vec_id")

@@ -13,7 +13,8 @@ before and after each text.
 
 Defined cases: a null text or one without a letter gets "und" and 0; so does every text if no language could be learnt; if
 no n-gram is known the most frequent language is taken, with 0; ties go to the more frequent language, then to the first
-by name; a null id hashes as "". At most 64 languages. Other columns are left out.
+by name; a null id hashes as "". More than 64
+languages take several words a slot. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 
 from ._blocks import table_of, text_blocks
 
-TRAIN_DOCS = 300
-SLOT_BITS = 20
+#: Documents of each language that filters are fitted on, and characters of each.
+TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
+SLOT_BITS, WORD_BITS = 20, 64
 SIZES = (3, 5)
 #: An n-gram belongs to a language if it stands there so often, and as this share of all n-grams of its size.
 LEAST_COUNT, LEAST_SHARE = 3, 1e-5
@@ -75,21 +77,22 @@ def slots(values: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages by frequency; table: a bit for each language in each slot; chance: each filter's false positives."""
+    """languages by frequency; tables: a bit for each language in each slot, 64 languages a table; chance: each filter's false positives."""
 
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     chance: np.ndarray
 
 
 def fit(samples: dict[str, list[str]]) -> Filters:
     """Filters of the languages of samples, in that order."""
     languages = list(samples)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
-    table = np.zeros(1 << SLOT_BITS, kind)
+    tables = []
+    for at in range(0, len(languages), WORD_BITS):
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages) - at, WORD_BITS) <= 8 * np.dtype(t).itemsize)
+        tables.append(np.zeros(1 << SLOT_BITS, kind))
     for bit, language in enumerate(languages):
+        table = tables[bit // WORD_BITS]
         found: dict[int, list[np.ndarray]] = {n: [] for n in SIZES}
         for _, _, data, at in text_blocks(pa.array(samples[language], pa.string())):
             folded, text = padded(data, at)
@@ -99,9 +102,9 @@ def fit(samples: dict[str, list[str]]) -> Filters:
             every = np.concatenate([np.zeros(0, np.uint64), *found[n]])
             values, counts = np.unique(every, return_counts=True)
             for place in slots(values[counts >= max(LEAST_COUNT, LEAST_SHARE * len(every))]):
-                table[place] |= kind(1 << bit)
-    fill = np.array([np.count_nonzero(table & kind(1 << bit)) / len(table) for bit in range(len(languages))])
-    return Filters(languages, table, fill ** len(_FACTORS))
+                table[place] |= table.dtype.type(1 << bit % WORD_BITS)
+    fill = np.array([np.count_nonzero(tables[bit // WORD_BITS] & tables[bit // WORD_BITS].dtype.type(1 << bit % WORD_BITS)) / (1 << SLOT_BITS) for bit in range(len(languages))])
+    return Filters(languages, tables, fill ** len(_FACTORS))
 
 
 def predict(data: np.ndarray, at: np.ndarray, filters: Filters) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +115,15 @@ def predict(data: np.ndarray, at: np.ndarray, filters: Filters) -> tuple[np.ndar
     for size in SIZES:
         values, where = grams(folded, text, size)
         first, second = slots(values)
-        mask = filters.table[first] & filters.table[second]
         total += np.bincount(where, minlength=n_texts)
-        for byte in range(mask.dtype.itemsize):
-            part = (mask >> mask.dtype.type(8 * byte)).astype(np.uint8)
-            counts = np.bincount(where.astype(np.int64) << 8 | part, minlength=n_texts << 8).reshape(n_texts, 256)
-            for bit in range(8 * byte, min(n, 8 * byte + 8)):
-                hits[:, bit] += counts[:, np.arange(256) >> (bit - 8 * byte) & 1 == 1].sum(1)
+        for word, table in enumerate(filters.tables):
+            mask = table[first] & table[second]
+            for byte in range(mask.dtype.itemsize):
+                part = (mask >> mask.dtype.type(8 * byte)).astype(np.uint8)
+                counts = np.bincount(where.astype(np.int64) << 8 | part, minlength=n_texts << 8).reshape(n_texts, 256)
+                low = WORD_BITS * word + 8 * byte
+                for bit in range(low, min(n, low + 8)):
+                    hits[:, bit] += counts[:, np.arange(256) >> (bit - low) & 1 == 1].sum(1)
     share = hits / np.maximum(total, 1)[:, None]
     corrected = np.clip((share - filters.chance) / np.maximum(1 - filters.chance, 1e-9), 0, 1)
     best = corrected.argmax(1)
@@ -133,7 +138,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Filters:
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, most / n))) for k, n in counts.items()), F.lit(0.0))
     samples: dict[str, list[str]] = {k: [] for k in counts}
     if counts:
-        for lang, text in labelled.where(draw < share).select("lang", "text").collect():
+        for lang, text in labelled.where(draw < share).select("lang", F.substring("text", 1, TRAIN_CHARS)).collect():
             samples[lang].append(text)
     return fit(samples)
 

@@ -11,7 +11,7 @@ BUCKETS counts for each source and a window over the documents of one cell, 1 in
 source with a third of all rows is never in one task. What is joined to documents has a row for each source.
 
 Nulls: a null text has 0 words, a null source is a source of its own (the last one), a null doc_id hashes as "".
-Documents without words are never taken. Repeated rows have one rank and go together. Empty tables give empty results.
+Other columns pass through, whatever their names. Documents without words are never taken. Repeated rows have one rank and go together. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, small, stored
+from ._common import WORD, columns, drop_stored, small, stored
 
 BUCKETS = 4096
 MOST = 3
@@ -74,13 +74,12 @@ def _end(cells: DataFrame, cell: str) -> DataFrame:
     return ran.select("source", cell, (F.col("upto") - F.col("words")).alias("done"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "") -> DataFrame:
-    """docs (doc_id, source, text and any others) with size, source_size, target, copies and taken (copies * size).
+MADE = ("size", "source_size", "target", "copies", "taken")
 
-    Columns of these names in docs are replaced. No document has more than `most` copies; reruns agree.
-    """
-    made = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*made)
+
+def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "") -> DataFrame:
+    """What MADE names for each row of docs, and row: all its columns, out of the way of other names."""
+    docs = docs.select("doc_id", "source", "text", F.struct(*columns(docs)).alias("row"))
     sizes = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     sources = stored(source_targets(sizes, weights, most).coalesce(1), "sources")
 
@@ -103,6 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     for right in (ends.select("source", "cell"), parts.select("source", "end_part"), last):
         cuts = with_sources(cuts, right, "left").withColumnRenamed("cell", "end_cell")
     cuts = stored(cuts.coalesce(1), "cuts")
+    drop_stored(sizes, sources, ends, parts, last)
 
     out = docs.withColumn("size", n_words(F.col("text")))
     out = _rank(with_sources(out, cuts), seed)
@@ -111,11 +111,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     # Without an end the rest takes all (it is all words, or none has words).
     more = F.col("q").isNotNull() & (F.col("end_cell").isNull() | before | F.coalesce(same, F.lit(False)))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0))
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, *made)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select("row", *MADE)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, source, text and any others) with size, source_size, target, copies and taken (copies * size).
+
+    Columns of these names in docs are replaced. No document has more than `most` copies; reruns agree.
+    """
+    docs = docs.drop(*MADE)
+    return _mix(docs, **options).select(*(F.col("row")[c].alias(c) for c in docs.columns), *MADE)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, in docs' columns."""
-    out = mix(docs, **options).where("copies > 0")
-    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    out = _mix(docs, **options).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -4,11 +4,12 @@ The patterns give the base spans. A token with a digit or an at sign is a node o
 none. Its unary potential comes from a softmax model over its shape; neighbours in the text share learnt transition
 potentials; and tokens that repeat each other or look alike (the same letters and digits, the same long digits, the same
 name before an at sign) share a potential for the same label however far apart they stand, as edges from each occurrence to
-the next. Tokens of base spans are observed. Loopy sum-product message passing, damped, over all documents of a
+the next. Tokens of base spans are observed, as none so are those of addresses and cards that fail their check. Loopy sum-product message passing, damped, over all documents of a
 batch at once, gives each token's marginals; a token that the patterns left out becomes a span if a kind's marginal
 reaches LEAST. So a number that is written in full once and cut short elsewhere is found in both places.
 
-The model is fitted on at most TRAIN_DOCS documents with the patterns' labels; everything else covers all documents.
+The model is fitted on at most TRAIN_DOCS documents, TRAIN_CHARS characters of each, with the patterns' labels; AGREEMENT is
+set, not learnt. Everything else covers all documents, whole.
 
 Defined cases: a null text is an empty one; rows are looked at one by one, so repeated or null ids are no matter; other
 columns are left out; without documents to fit on, nothing is added.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 #: The kinds in the order in which their spans are listed.
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 1000
+TRAIN_DOCS, TRAIN_CHARS = 1000, 20_000
 #: Log potential for one label on both sides of a skip edge, rounds of messages, damping, marginal of an added span.
 AGREEMENT, ROUNDS, DAMPING, LEAST = 3.0, 12, 0.3, 0.9
 
@@ -67,34 +68,47 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) by kind and start."""
+def _byte(part: str) -> bool:
+    """Whether digits are a number up to 255, however many zeros come first."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
+def base_spans(text: str, refused: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(kind, start, end) by kind and start. refused gets the places that look like an address or a card and fail their check."""
+    refused = [] if refused is None else refused
     found = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if not _DIGITS.search(text):
         return found
     if "." in text:
-        found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        for m in _IP.finditer(text):
+            if all(map(_byte, m[0].split("."))):
+                found.append((1, *m.span()))
+            else:
+                refused.append(m.span())
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
                 found.append((2, *m.span()))
+            elif 16 <= len(digits) <= 19:
+                refused.append(m.span())
     if "+" in text:
         found += [(3, *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_DIGITS.findall(m[0])) <= 15]
     return found
 
 
-FEATURES = 26
+FEATURES = 27
 
 
 def features(token: str, before: str) -> list[int]:
     """The shape features that a token has."""
     digits, letters = len(_DIGITS.findall(token)), sum(c.isalpha() for c in token)
     out = [0, 1 + min(digits, 5) // 2 if digits < 6 else 4 + min(digits - 6, 14) // 3, 10 + min(letters, 8) // 2]
-    for k, has in enumerate(("@" in token, token.count(".") == 3, "." in token, "-" in token, token[:1] == "+", "(" in token, "=" in token or ":" in token, '"' in token or "'" in token, digits == len(token), before[-1:] == ":", before[:1] == "+", before[-1:] == ")"), 14 + 0):
+    for k, has in enumerate(("@" in token, token.count(".") == 3, "." in token, "-" in token, token[:1] == "+", "(" in token, "=" in token or ":" in token, '"' in token or "'" in token, digits == len(token), before[-1:] == ":", before[:1] == "+", before[-1:] == ")"), 15):
         if has:
             out.append(k)
-    return [x if x < FEATURES else FEATURES - 1 for x in out]
+    return out
 
 
 @dataclass
@@ -112,12 +126,15 @@ class Field:
     skip: np.ndarray
 
 
-def field_of(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Field:
+def field_of(texts: list[str], bases: list[list[tuple[int, int, int]]], refused: list[list[tuple[int, int]]] | None = None) -> Field:
     spans, labels, shapes, edges, skip = [], [], [], [], []
     for doc, (text, base) in enumerate(zip(texts, bases, strict=True)):
         if not _MARKED.search(text):
             continue
-        covered = sorted((a, b, kind) for kind, a, b in base)
+        covered = [(a, b, kind) for kind, a, b in base]
+        if refused is not None:
+            covered += [(a, b, len(KINDS)) for a, b in refused[doc]]
+        covered.sort(key=lambda x: (x[0], x[2]))
         seen: dict[tuple[str, str], int] = {}
         before, last, place, c, reach = "", None, 0, 0, []
         for place, m in enumerate(_TOKEN.finditer(text)):
@@ -135,7 +152,7 @@ def field_of(texts: list[str], bases: list[list[tuple[int, int, int]]]) -> Field
             core = token.strip("\"'.,;:!?()[]{}<>")
             shift = token.find(core) if core else 0
             spans.append((doc, a + shift, a + shift + len(core or token), place))
-            labels.append(reach[0][2] if reach else -1)
+            labels.append(min(x[2] for x in reach) if reach else -1)
             shapes.append(features(token, before))
             if last is not None and place - last[1] <= 3:
                 edges.append((last[0], node))
@@ -227,8 +244,9 @@ def marginals(field: Field, model: Model) -> np.ndarray:
 
 def find(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and all spans, each (kind, start, end) by kind and start."""
-    bases = [base_spans(t) for t in texts]
-    field = field_of(texts, bases)
+    refused: list[list[tuple[int, int]]] = [[] for _ in texts]
+    bases = [base_spans(t, r) for t, r in zip(texts, refused, strict=True)]
+    field = field_of(texts, bases, refused)
     every = [list(b) for b in bases]
     if len(field.label):
         p, last = marginals(field, model)[:, :-1], (None, None, None)
@@ -247,8 +265,10 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    return fit([r[0] for r in docs.select("text").where(F.col("text").rlike("[0-9@]")).limit(most).collect()])
+def train(docs: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
+    """Fitted on the `most` documents with a digit or an at sign that come first by a hash, `chars` characters of each."""
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("turn"))
+    return fit([r[0] for r in some.orderBy("turn", "text").limit(most).collect()])
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
