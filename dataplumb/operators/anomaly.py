@@ -1,24 +1,40 @@
-"""Anomalies: density clusters in one dimension and isolation forests."""
+"""Anomalies: density clusters and isolation forests."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._base import Relation, col, column_names, finite, relation
+from .._base import Relation, col, column_names, finite, quoted, relation
+from .._tables import components, stored
+
+
+#: Columns along which points are cut into cells: 3 ** GRID neighbours of each.
+GRID = 3
 
 
 def numbered(df: DataFrame, columns: list[str], id_column: str | None) -> DataFrame:
     """row_id from 1 in the order of the scan, with the columns as doubles x0, x1, ... and the id passed through."""
     ids = [col(df, id_column).alias("id")] if id_column else []
-    some = df.select(*ids, *(col(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
-    rows = some.rdd.zipWithIndex().map(lambda r: (r[1] + 1, *r[0]))
-    schema = "row_id long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
-    return df.sparkSession.createDataFrame(rows, schema)
+    return with_row_ids(df.select(*ids, *(col(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))))
+
+
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """row_id from 1 before df's columns: places in the partition plus the rows of the partitions before.
+
+    The counts have a row for each partition. They ask for all columns, so that both reads are planned alike.
+    """
+    some = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = some.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.max(F.struct(*(F.col(quoted(c)).isNull() for c in df.columns))).alias("_all"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = some.join(F.broadcast(before), part == F.col("_part"))
+    return out.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("row_id"), *(F.col(quoted(c)) for c in df.columns))
 
 
 def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, output_mode: str = "summary", id_column: str | None = None) -> DataFrame:
@@ -48,10 +64,58 @@ def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, out
     border = counted.where("not core").join(spread, "cell").where(F.abs(F.col("value") - F.col("w")) <= eps).groupBy("value").agg(F.min("cluster").alias("border"))
     known = counted.select("value", "neighbours", "core").join(cores.select("value", "cluster"), "value", "left").join(border, "value", "left")
     out = rows.join(known, "value", "left")
+    return _clustered(out, good, ["value"], eps, min_pts, output_mode, id_column)
+
+
+def dbscan_mv(table: Relation, columns: str | list[str], eps: float = 0.5, min_pts: int = 5, output_mode: str = "summary", id_column: str | None = None) -> DataFrame:
+    """Density clusters of several columns by Euclidean distance, exactly.
+
+    Points are cut into cells of width eps along the first GRID columns, so that neighbours are in adjacent cells, and equal
+    points are one with a count. Clusters are connected components of the cores; numbers and border points follow dbscan. A
+    row with a null is left out, one with a number that isn't finite has no neighbours.
+    """
+    if not eps > 0 or min_pts < 1:
+        raise ValueError("eps must be positive and min_pts at least 1")
+    if output_mode not in ("summary", "clusters"):
+        raise ValueError("output_mode must be 'summary' or 'clusters'")
+    df = relation(table)
+    names = column_names(df, columns)
+    xs = [f"x{i}" for i in range(len(names))]
+    rows = numbered(df, names, id_column).where(reduce(lambda a, b: a & b, (F.col(x).isNotNull() for x in xs)))
+    good = reduce(lambda a, b: a & b, (finite(F.col(x)) for x in xs))
+    # A point's number is its first row.
+    points = rows.where(good).groupBy(*xs).agg(F.count("*").alias("c"), F.min("row_id").alias("p"))
+    grid = xs[:GRID]
+    left = points.select("p", "c", *xs, *(F.floor(F.col(x) / eps).alias(f"g{i}") for i, x in enumerate(grid)))
+    right = points.select(F.col("p").alias("q"), F.col("c").alias("cq"), *(F.col(x).alias(f"y{i}") for i, x in enumerate(xs)), *(F.floor(F.col(x) / eps).alias(f"h{i}") for i, x in enumerate(grid)))
+    for i in range(len(grid)):
+        right = right.withColumn(f"h{i}", F.explode(F.array(*(F.col(f"h{i}") + k for k in (-1, 0, 1)))))
+    distance = F.sqrt(reduce(lambda a, b: a + b, ((F.col(x) - F.col(f"y{i}")) * (F.col(x) - F.col(f"y{i}")) for i, x in enumerate(xs))))
+    near = left.join(right, reduce(lambda a, b: a & b, (F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(grid))))).where(distance <= eps)
+    counted = near.groupBy("p").agg((F.sum("cq") - 1).alias("neighbours")).withColumn("core", F.col("neighbours") + 1 >= min_pts)
+    counted = stored(counted, "cores")
+    cores = counted.where("core").select("p")
+    # Every core with the cores and others in its reach.
+    reach = near.select("p", "q").join(cores, "p")
+    edges = reach.where("p < q").join(cores.select(F.col("p").alias("q")), "q").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    parts = components(edges)
+    of = cores.join(parts, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("k"))
+    numbers = of.select("k").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("k")) - 1)
+    of = of.join(numbers, "k").select("p", "cluster")
+    others = counted.where("not core").select(F.col("p").alias("q"))
+    border = reach.join(others, "q").join(of, "p").groupBy("q").agg(F.min("cluster").alias("border")).withColumnRenamed("q", "p")
+    known = counted.join(of, "p", "left").join(border, "p", "left").join(points, "p").drop("c", "p")
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{x}") == F.col(f"k.{x}") for x in xs))
+    out = rows.alias("r").join(known.alias("k"), same, "left").select("r.*", "neighbours", "core", "cluster", "border")
+    return _clustered(out, good, [], eps, min_pts, output_mode, id_column, len(names))
+
+
+def _clustered(out: DataFrame, good: Column, values: list[str], eps: float, min_pts: int, output_mode: str, id_column: str | None, n_columns: int | None = None) -> DataFrame:
+    """The rows of out(row_id, neighbours, core, cluster, border) as points of clusters, or their summary."""
     alone = F.lit(min_pts == 1) & ~good
     kind = F.when(F.col("core"), "CORE").when(F.col("border").isNotNull(), "BORDER").when(alone, "CORE").otherwise("NOISE")
     cluster = F.coalesce("cluster", "border", F.lit(-1)).cast("int")
-    out = out.select("row_id", *(["id"] if id_column else []), "value", cluster.alias("cluster_id"), kind.alias("point_type"), F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbor_count"))
+    out = out.select("row_id", *(["id"] if id_column else []), *values, cluster.alias("cluster_id"), kind.alias("point_type"), F.coalesce("neighbours", F.lit(0)).cast("long").alias("neighbor_count"))
     if output_mode == "clusters":
         most = out.agg(F.max("neighbor_count").alias("most"))
         out = out.crossJoin(F.broadcast(most))
@@ -62,7 +126,8 @@ def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, out
     total = sizes.agg(F.count(F.when(F.col("cluster_id") >= 0, 1)).alias("cluster_count"), F.coalesce(F.sum(F.when(F.col("cluster_id") < 0, F.col("c"))), F.lit(0)).alias("noise_count"), F.coalesce(F.sum("c"), F.lit(0)).alias("total_count"), F.coalesce(F.max(F.when(F.col("cluster_id") >= 0, F.col("c"))), F.lit(0)).alias("largest_cluster_size"))
     rate = F.coalesce(F.try_divide(F.col("noise_count").cast("double"), F.col("total_count")), F.lit(0.0))
     message = F.when(F.col("total_count") == 0, "No rows to evaluate (column is empty or all NULL)").otherwise(F.concat(F.col("cluster_count").cast("string"), F.lit(" cluster(s) and "), F.col("noise_count").cast("string"), F.lit(" noise point(s)")))
-    return total.select(F.when(F.col("noise_count") > 0, "fail").otherwise("pass").alias("status"), "cluster_count", "noise_count", "total_count", rate.alias("noise_rate"), "largest_cluster_size", F.lit(float(eps)).alias("eps"), F.lit(int(min_pts)).cast("long").alias("min_pts"), message.alias("message"))
+    more = [F.lit(n_columns).cast("int").alias("n_columns")] if n_columns else []
+    return total.select(F.when(F.col("noise_count") > 0, "fail").otherwise("pass").alias("status"), "cluster_count", "noise_count", "total_count", rate.alias("noise_rate"), "largest_cluster_size", F.lit(float(eps)).alias("eps"), F.lit(int(min_pts)).cast("long").alias("min_pts"), *more, message.alias("message"))
 
 
 def average_path(n: float) -> float:
@@ -138,12 +203,22 @@ def _forest(table: Relation, columns: list[str], n_trees: int, sample_size: int,
         return pd.Series(sent.value.score(np.column_stack([s.to_numpy(float) for s in x])))
 
     scored = rows.withColumn("anomaly_score", F.when(inside, score(*(F.when(inside, F.col(c)).otherwise(0.0) for c in names))).otherwise(1.0)).withColumn("_inside", inside)
-    ranked = scored.where("_inside").agg(F.count("*").alias("n"), F.max("anomaly_score").alias("top"), F.min("anomaly_score").alias("low"), F.percentile("anomaly_score", 1 - contamination).alias("cut"))
-    # All scores alike: nothing stands out; a cut at the top takes the whole top group.
-    tie = lambda a, b: F.abs(a - b) <= 1e-9 * F.abs(a)
-    out = scored.crossJoin(F.broadcast(ranked))
-    flag = F.when(~F.col("_inside"), True).when(tie(F.col("top"), F.col("low")) | F.lit(contamination == 0), False).when(tie(F.col("cut"), F.col("top")), tie(F.col("anomaly_score"), F.col("top"))).otherwise((F.col("anomaly_score") > F.col("cut")) & ~tie(F.col("anomaly_score"), F.col("cut")))
-    return out.withColumn("is_anomaly", flag).drop("n", "top", "low", "cut", "_inside")
+    ranked = scored.where("_inside").agg(F.count("*").alias("n"), F.max("anomaly_score").alias("top"), F.min("anomaly_score").alias("low"))
+    # The score at place floor((1 - contamination) (n - 1)) is the cut; tied scores differ by rounding only.
+    place = F.floor(F.lit(1.0 - contamination) * (F.col("n") - 1))
+    tie = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+    cut = scored.where("_inside").crossJoin(F.broadcast(ranked.select(place.alias("place"))))
+    # Counts by score, which are few as trees have few leaves; running sums over them by ranges of scores.
+    cells = cut.groupBy(F.floor(F.col("anomaly_score") * 4096).alias("cell"), "place").agg(F.count("*").alias("c"))
+    ran = cells.withColumn("upto", F.sum("c").over(Window.orderBy("cell")))
+    here = ran.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(F.col("cell").alias("here"), (F.col("place") - F.col("upto") + F.col("c")).alias("inner"))
+    band = cut.crossJoin(F.broadcast(here)).where(F.floor(F.col("anomaly_score") * 4096) == F.col("here")).groupBy("anomaly_score", "inner").agg(F.count("*").alias("c"))
+    band = band.withColumn("upto", F.sum("c").over(Window.orderBy("anomaly_score")))
+    cut = band.where((F.col("upto") > F.col("inner")) & (F.col("upto") - F.col("c") <= F.col("inner"))).agg(F.max("anomaly_score").alias("cut"))
+    out = scored.crossJoin(F.broadcast(ranked)).crossJoin(F.broadcast(cut))
+    none = tie(F.col("top"), F.col("low")) | (place >= F.col("n") - 1)
+    flag = F.when(~F.col("_inside"), True).when(none, False).when(tie(F.col("cut"), F.col("top")), tie(F.col("anomaly_score"), F.col("top"))).otherwise((F.col("anomaly_score") > F.col("cut")) & ~tie(F.col("anomaly_score"), F.col("cut")))
+    return out.withColumn("is_anomaly", F.coalesce(flag, F.lit(False))).drop("n", "top", "low", "cut", "_inside")
 
 
 def isolation_forest(table: Relation, column: str, n_trees: int = 100, sample_size: int = 256, contamination: float = 0.1, output_mode: str = "summary", seed: int | None = None, id_column: str | None = None) -> DataFrame:
