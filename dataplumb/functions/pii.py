@@ -1,20 +1,24 @@
 """Detecting and masking personal data in text: patterns with validators, as Arrow functions.
 
-Ten types are there: the patterned ones with check digits and the common network identifiers. Positions are bytes of the UTF-8
-text. Overlaps go to the earlier, then the longer match, then the earlier type.
+All 22 types are there. NAME goes by a list of given names, with a confidence of 0.5; ORGANIZATION, LOCATION and MISC find nothing
+without an entity model (see Entities). POSTAL_CODE is looked for only where it is named. Positions are bytes of the UTF-8 text. Overlaps
+go to the earlier, then the longer match, then the earlier type, patterns before names; a URL without a user that holds an email address
+is not a match beside EMAIL. Card numbers and IBANs may span one line break.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._base import Relation, column_names, quoted, relation
+from .._base import Relation, column_name, column_names, quoted, relation
+from . import pii_kinds
 from .validators import IBAN_LENGTHS
 
 
@@ -93,16 +97,37 @@ _IPV6_RUN, _ASCII_WORD, _ZONE = re.compile("[0-9A-Fa-f:.]{2,}"), re.compile("[A-
 #: Types in order, each with its pattern and validator.
 TYPES = {
     "EMAIL": (re.compile(r"(?<![\w.+-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"), None),
-    "CREDIT_CARD": (re.compile(r"(?<![0-9.-])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9-])"), _card),
+    "CREDIT_CARD": (re.compile(r"(?<![0-9.-])[0-9](?:(?:[ .-]|[ .-]?\r?\n)?[0-9]){12,18}(?![0-9-])"), lambda v: v.count("\n") <= 1 and _card(v)),
     "US_SSN": (re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}([- ])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9-])"), None),
-    "IBAN": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    "IBAN": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:[ -]|[ -]?\r?\n)?[A-Z0-9]{4}){2,7}(?:(?:[ -]|[ -]?\r?\n)?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda v: v.count("\n") <= 1 and _iban(v)),
     "DE_TAX_ID": (re.compile(r"(?<![0-9])[0-9]{11}(?![0-9])"), _tax_id),
     "IP_ADDRESS": (re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _ip),
     "URL": (re.compile(r"\b(?:https?|ftps?)://[^\s<>\"']+[^\s<>\"'.,;:!?)]", re.IGNORECASE), None),
     "MAC_ADDRESS": (re.compile(r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])"), None),
     "UK_NINO": (re.compile(r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b"), None),
+    "US_PASSPORT": (re.compile(r"(?<![A-Za-z0-9])[A-Za-z][0-9]{8}(?![A-Za-z0-9])"), None),
     "PHONE": (re.compile(r"(?<![\w+.-])(?:\+|00)[1-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,4}\)?){2,6}(?![\w-])"), lambda v: 7 <= len(_digits(v)) <= 15),
+    "CRYPTO_ADDRESS": (pii_kinds.crypto_addresses, None),
+    "API_KEY": (pii_kinds.api_keys, None),
+    "DATE_OF_BIRTH": (pii_kinds.births, None),
+    "DE_SVNR": (pii_kinds.pension_numbers, None),
+    "DE_KVNR": (pii_kinds.health_numbers, None),
+    "DE_ID_CARD": (pii_kinds.id_cards, None),
+    "POSTAL_CODE": (pii_kinds.postal_codes, None),
+    "NAME": (pii_kinds.names, None),
+    "ORGANIZATION": (lambda text: (), None),
+    "LOCATION": (lambda text: (), None),
+    "MISC": (lambda text: (), None),
 }
+#: Other names of types; types that are looked for only where they are named; those of an entity model.
+ALIASES = {"CREDITCARD": "CREDIT_CARD", "CC": "CREDIT_CARD", "SSN": "US_SSN", "IP": "IP_ADDRESS", "STEUER_ID": "DE_TAX_ID", "GERMAN_TAX_ID": "DE_TAX_ID", "PERSON": "NAME", "PERSON_NAME": "NAME", "ORG": "ORGANIZATION", "COMPANY": "ORGANIZATION", "LOC": "LOCATION", "PLACE": "LOCATION", "GEO": "LOCATION", "MISCELLANEOUS": "MISC", "OTHER": "MISC", "PASSPORT": "US_PASSPORT", "CRYPTO": "CRYPTO_ADDRESS", "NINO": "UK_NINO", "MAC": "MAC_ADDRESS", "APIKEY": "API_KEY", "KEY": "API_KEY", "DOB": "DATE_OF_BIRTH", "BIRTH_DATE": "DATE_OF_BIRTH", "SVNR": "DE_SVNR", "RVNR": "DE_SVNR", "KVNR": "DE_KVNR", "KRANKENVERSICHERTENNUMMER": "DE_KVNR", "PERSONALAUSWEIS": "DE_ID_CARD", "POSTCODE": "POSTAL_CODE", "ZIP": "POSTAL_CODE", "PLZ": "POSTAL_CODE"}
+ON_REQUEST = ("POSTAL_CODE",)
+ENTITIES = ("NAME", "ORGANIZATION", "LOCATION", "MISC")
+DEFAULT_TYPES = tuple(t for t in TYPES if t not in ON_REQUEST)
+#: An entity model: a text to (type, start, end, confidence) in characters. None is built in.
+Entities = Callable[[str], list[tuple[str, int, int, float]]]
+#: Texts without any of these hold nothing but names.
+_MARK = re.compile(r"[0-9@:]")
 MATCH = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()), T.StructField("confidence", T.DoubleType())]))
 STRATEGIES = ("redact", "asterisk", "hash", "partial", "none")
 
@@ -111,16 +136,31 @@ def matches(text: str, types: tuple[str, ...] | None = None) -> list[tuple[str,
     """(type, start, end) in characters, without overlaps."""
     found = []
     for order, (name, (pattern, valid)) in enumerate(TYPES.items()):
-        if types is None or name in types:
-            found += [(m.start(), -m.end(), order, name) for m in pattern.finditer(text) if valid is None or valid(m[0])]
-            if name == "IP_ADDRESS":
-                found += [(a, -b, order, name) for a, b in _ipv6(text)]
-    out, end = [], 0
-    for a, b, _, name in sorted(found):
-        if a >= end:
-            out.append((name, a, -b))
+        if name not in (DEFAULT_TYPES if types is None else types) or (name not in ENTITIES and not _MARK.search(text)):
+            continue
+        late = name in ENTITIES
+        spans = pattern(text) if callable(pattern) else (m.span() for m in pattern.finditer(text) if valid is None or valid(m[0]))
+        found += [(late, a, -b, order, name) for a, b in spans]
+        if name == "IP_ADDRESS":
+            found += [(late, a, -b, order, name) for a, b in _ipv6(text)]
+    emails = [(a, -b) for _, a, b, _, name in found if name == "EMAIL"]
+    if emails:
+        whole = lambda a, b: "@" not in re.split("[/?#]", text[a:b].split("://", 1)[-1], maxsplit=1)[0] and any(a <= x and y <= b for x, y in emails)
+        found = [f for f in found if f[4] != "URL" or not whole(f[1], -f[2])]
+    taken: list[tuple[int, int, str]] = []
+    end = 0
+    for late, a, b, _, name in sorted(found):
+        if late:
+            if all(y <= a or -b <= x for x, y, _ in taken):
+                taken.append((a, -b, name))
+        elif a >= end:
+            taken.append((a, -b, name))
             end = -b
-    return out
+    return [(name, a, b) for a, b, name in sorted(taken)]
+
+
+def confidence(name: str) -> float:
+    return 0.5 if name == "NAME" else 1.0
 
 
 def _partial(name: str, v: str) -> str:
@@ -171,27 +211,71 @@ def _strategy(strategy: str) -> str:
 def _types(types) -> tuple[str, ...] | None:
     if types is None:
         return None
-    names = tuple(t.strip().upper() for t in ([types] if isinstance(types, str) else types))
+    names = tuple(ALIASES.get(t.strip().upper(), t.strip().upper()) for t in ([types] if isinstance(types, str) else types))
     if unknown := [t for t in names if t not in TYPES]:
         raise ValueError(f"unknown type(s): {', '.join(unknown)}")
     return names
 
 
+def _found(t: str | None, chosen: tuple[str, ...] | None) -> list[dict] | None:
+    if t is None:
+        return None
+    return [{"type": n, "text": t[a:b], "start_pos": len(t[:a].encode()), "end_pos": len(t[:b].encode()), "confidence": confidence(n)} for n, a, b in matches(t, chosen)]
+
+
 def pii_detect(text: Column, types=None) -> Column:
     chosen = _types(types)
 
     @F.pandas_udf(MATCH)
     def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            return [{"type": n, "text": t[a:b], "start_pos": len(t[:a].encode()), "end_pos": len(t[:b].encode()), "confidence": 1.0} for n, a, b in matches(t, chosen)]
-
-        return s.map(one)
+        return s.map(lambda t: _found(t, chosen))
 
     return run(text)
 
 
+def pii_detect_batch(texts: Column, types=None) -> Column:
+    """For an array of texts the matches of each; null for a null text."""
+    chosen = _types(types)
+
+    @F.pandas_udf(T.ArrayType(MATCH))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda ts: None if ts is None else [_found(t, chosen) for t in ts])
+
+    return run(texts)
+
+
+def pii_detect_emails(text: Column) -> Column:
+    return pii_detect(text, "EMAIL")
+
+
+def pii_detect_phones(text: Column) -> Column:
+    return pii_detect(text, "PHONE")
+
+
+def pii_detect_credit_cards(text: Column) -> Column:
+    return pii_detect(text, "CREDIT_CARD")
+
+
+def pii_detect_ssns(text: Column) -> Column:
+    return pii_detect(text, "US_SSN")
+
+
+def pii_detect_ibans(text: Column) -> Column:
+    return pii_detect(text, "IBAN")
+
+
+def pii_detect_names(text: Column) -> Column:
+    return pii_detect(text, "NAME")
+
+
+def pii_is_valid_crypto_address(value: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else pii_kinds.is_crypto_address(v))
+
+    return run(value)
+
+
 def pii_mask(text: Column, strategy: str = "redact", types=None) -> Column:
     chosen, how = _types(types), _strategy(strategy)
 
@@ -248,8 +332,31 @@ def pii_scan_table(table: Relation, columns: str | list[str] | None = None) -> D
     counts = rows.groupBy("column_name").agg(F.count("*").alias("values_scanned"))
     # By distinct value first, so that samples are bounded whatever the number of values.
     values = found.where("m is not null").groupBy("column_name", F.col("m.type").alias("pii_type"), F.col("m.text").alias("t")).agg(F.count("*").alias("c"))
-    values = values.withColumn("nth", F.row_number().over(Window.partitionBy("column_name", "pii_type").orderBy("t")))
-    out = values.groupBy("column_name", "pii_type").agg(F.sum("c").alias("match_count"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 5, F.col("t")))).alias("sample_values"))
-    out = out.join(counts, "column_name").select("column_name", "pii_type", "match_count", "sample_values", F.lit(1.0).alias("confidence"), "values_scanned", F.lit("found").alias("status"))
-    skipped = [(c, None, 0, [], None, 0, f"skipped ({df.schema[c].dataType.simpleString()})") for c in names if c not in texts]
-    return out.union(df.sparkSession.createDataFrame(skipped, "column_name string, pii_type string, match_count long, sample_values array<string>, confidence double, values_scanned long, status string")).orderBy("column_name", "pii_type")
+    key = ["column_name", "pii_type"]
+    # The filter on the row number keeps five rows of each group before they are sorted anywhere.
+    samples = values.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("t"))).where("nth <= 5").groupBy(*key).agg(F.array_sort(F.collect_list("t")).alias("sample_values"))
+    totals = values.groupBy(*key).agg(F.sum("c").alias("match_count"))
+    checked, model = F.array(*map(F.lit, DEFAULT_TYPES)), F.lit("none")
+    sure = F.when(F.col("pii_type") == "NAME", 0.5).otherwise(1.0)
+    out = totals.join(samples, key).join(counts, "column_name").select(*key, "match_count", "sample_values", sure.alias("confidence"), "values_scanned", F.lit("found").alias("status"), checked.alias("checked_types"), model.alias("ner_model"))
+    nothing = F.array().cast("array<string>")
+    every = df.sparkSession.createDataFrame([(c,) for c in texts], "column_name string").join(counts, "column_name", "left").join(totals.select("column_name").distinct(), "column_name", "left_anti")
+    blank = every.select("column_name", F.lit(None).cast("string").alias("pii_type"), F.lit(0).cast("long").alias("match_count"), nothing.alias("sample_values"), F.lit(None).cast("double").alias("confidence"), F.coalesce("values_scanned", F.lit(0)).cast("long").alias("values_scanned"), F.when(F.col("values_scanned") > 0, "no_match (NER unavailable)").otherwise("no_values").alias("status"), checked.alias("checked_types"), model.alias("ner_model"))
+    skipped = [(c, None, 0, [], None, 0, f"skipped ({df.schema[c].dataType.simpleString()})", None, None) for c in names if c not in texts]
+    schema = "column_name string, pii_type string, match_count long, sample_values array<string>, confidence double, values_scanned long, status string, checked_types array<string>, ner_model string"
+    return out.union(blank).union(df.sparkSession.createDataFrame(skipped, schema)).orderBy(*key)
+
+
+def pii_audit_table(table: Relation, columns: str | list[str] | None = None, strategy: str = "redact", id_column: str | None = None) -> DataFrame:
+    """One row for each match: where it stands, the value, the value masked, and the matched text. Null values have none."""
+    from ..operators.anomaly import with_row_ids
+
+    df = relation(table)
+    names = column_names(df, columns) if columns else df.columns
+    texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    ids = [F.col(quoted(column_name(df, id_column))).alias("id")] if id_column else []
+    rows = with_row_ids(df.select(*ids, *(F.col(quoted(c)).alias(f"v{k}") for k, c in enumerate(texts))))
+    kept = ["row_id", *(["id"] if id_column else [])]
+    stacked = rows.select(*kept, F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"v{k}").alias("v")) for k, c in enumerate(texts)))).alias("x")).select(*kept, "x.*").where("v is not null")
+    found = stacked.select(*kept, "column_name", F.col("v").alias("original_value"), pii_mask(F.col("v"), strategy).alias("masked_value"), F.explode(pii_detect(F.col("v"))).alias("m"))
+    return found.select(*kept, "column_name", F.col("m.type").alias("pii_type"), "original_value", "masked_value", F.col("m.start_pos").alias("start_pos"), F.col("m.end_pos").alias("end_pos"), F.col("m.confidence").alias("confidence"), F.col("m.text").alias("matched_text"))

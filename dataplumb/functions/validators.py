@@ -114,3 +114,9 @@ def is_valid_kvnr(v: Column) -> Column:
     parts = [F.floor(letter / 10), letter % 10, *(_digit(n, k) for k in range(2, 10))]
     total = _sum([p if k % 2 == 0 else F.floor(p * 2 / 10) + p * 2 % 10 for k, p in enumerate(parts)])
     return F.when(v.isNotNull(), n.rlike(r"^[A-Z][0-9]{9}\z") & (total % 10 == _digit(n, 10)))
+
+
+def is_valid_crypto_address(v: Column) -> Column:
+    from .pii import pii_is_valid_crypto_address
+
+    return pii_is_valid_crypto_address(v)
