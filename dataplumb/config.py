@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +13,27 @@ CONTRACT_VERSION = "1"
 @dataclass(frozen=True)
 class Config:
     email_default_validation: str = "regex"
+    email_regex_pattern: str = ""
     email_dns_timeout_ms: int = 1000
     email_dns_tries: int = 1
     email_smtp_port: int = 25
     email_smtp_connect_timeout_ms: int = 5000
     email_smtp_read_timeout_ms: int = 5000
+    email_smtp_helo_domain: str = "localhost"
+    email_smtp_mail_from: str = ""
     phone_default_region: str = "US"
+    postal_data_path: str = ""
+    postal_auto_download: bool = False
+    trace_enabled: bool = False
+    trace_level: str = "info"
     pii_enabled_types: tuple[str, ...] = ()
     pii_min_confidence: float = 0.5
     pii_default_mask_strategy: str = "redact"
     pii_deep_validation: bool = False
     pii_require_checksum: bool = True
     ner_auto_download: bool = False
+    ner_model: str = "none"
+    ner_device: str = "cpu"
     ner_cache_size: int = 10000
     ner_required: bool = False
 
@@ -58,5 +68,11 @@ def ner_status() -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame([("none", "NOT_AVAILABLE")], "model string, status string")
 
 
+def set_trace(config: Config = Config()) -> None:
+    """The package's logging, as trace_enabled and trace_level say."""
+    logger = logging.getLogger("dataplumb")
+    logger.setLevel(config.trace_level.upper() if config.trace_enabled else logging.WARNING)
+
+
 def contract_version() -> str:
     return CONTRACT_VERSION

@@ -125,13 +125,32 @@ def freshness(table: Relation, column: str, max_age: dt.timedelta, reference_tim
 
 
 def _double(df: DataFrame, column: str) -> Column:
-    """As a double; exact numbers are moved near zero first, so that they stay apart beyond 2 ** 53."""
+    """As a double; true and false are 1 and 0."""
     kind = df.schema[column_name(df, column)].dataType
     if not (is_numeric(kind) or isinstance(kind, T.BooleanType)):
         raise ValueError(f"column '{column}' is not numeric")
     return col(df, column).cast("int").cast("double") if isinstance(kind, T.BooleanType) else col(df, column).cast("double")
 
 
+def _centred(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(v, base): the column as a double less base. base is 0 but for whole numbers and decimals beyond 2 ** 53.
+
+    Those are moved by their middle (whole numbers) or least value (decimals) in their own type first, so that values which one
+    double stands for stay apart. The second value is what has to be added to places, again as a double.
+    """
+    kind = df.schema[column_name(df, column)].dataType
+    if not isinstance(kind, T.LongType | T.DecimalType):
+        return df.select(_double(df, column).alias("v"), F.lit(0.0).alias("base")), F.col("base")
+    wide = F.col("x").cast(f"decimal(38,{kind.scale if isinstance(kind, T.DecimalType) else 0})")
+    values = df.select(col(df, column).alias("x"))
+    ends = values.agg(F.min(wide).alias("low"), F.max(wide).alias("high"))
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("decimal(38,0)") if isinstance(kind, T.LongType) else F.col("low")
+    far = F.greatest(F.abs(F.col("low")), F.abs(F.col("high"))) > 2**53
+    ends = ends.select(F.when(far, middle).alias("centre"))
+    moved = values.crossJoin(F.broadcast(ends)).select(F.when(F.col("centre").isNull(), F.col("x").cast("double")).otherwise((wide - F.col("centre")).cast("double")).alias("v"), F.coalesce(F.col("centre").cast("double"), F.lit(0.0)).alias("base"))
+    return moved, F.col("base")
+
+
 def _nonfinite_note(n: Column) -> Column:
     return F.when(n > 0, joined_message("; ", n, " NaN/Inf value(s) ignored")).otherwise("")
 
@@ -140,9 +159,10 @@ def zscore(table: Relation, column: str, threshold: float) -> DataFrame:
     if not threshold > 0:
         raise ValueError("threshold must be positive")
     df = relation(table)
-    values = df.select(_double(df, column).alias("v")).where("v is not null")
+    values, base = _centred(df, column)
+    values = values.where("v is not null")
     good = values.where(finite(F.col("v")))
-    stats = values.agg(F.avg(F.when(finite(F.col("v")), F.col("v"))).alias("mean"), F.stddev_samp(F.when(finite(F.col("v")), F.col("v"))).alias("stddev"), _n(finite(F.col("v"))).alias("total_count"), _n(~finite(F.col("v"))).alias("odd"))
+    stats = values.agg(F.max(base).alias("base"), F.avg(F.when(finite(F.col("v")), F.col("v"))).alias("mean"), F.stddev_samp(F.when(finite(F.col("v")), F.col("v"))).alias("stddev"), _n(finite(F.col("v"))).alias("total_count"), _n(~finite(F.col("v"))).alias("odd"))
     far = F.abs((F.col("v") - F.col("mean")) / F.nullif("stddev", F.lit(0.0))) > threshold
     # One row of statistics goes to every task of the second pass.
     found = good.crossJoin(F.broadcast(stats.select("mean", "stddev"))).agg(_n(far).alias("outlier_count"))
@@ -155,21 +175,24 @@ def zscore(table: Relation, column: str, threshold: float) -> DataFrame:
         .when(F.col("outlier_count") == 0, F.concat(F.lit(f"No outliers detected (z-score threshold: {number_of(threshold)}"), note, F.lit(")")))
         .otherwise(F.concat(joined_message(F.col("outlier_count"), " outlier(s) detected (", number(F.col("outlier_rate") * 100), "% of ", F.col("total_count"), " rows"), note, F.lit(")")))
     )
-    return out.select(_status(F.col("outlier_count") > 0), "mean", "stddev", "outlier_count", "total_count", "outlier_rate", lit_double(threshold).alias("threshold"), message.alias("message"))
+    return out.select(_status(F.col("outlier_count") > 0), (F.col("mean") + F.col("base")).alias("mean"), "stddev", "outlier_count", "total_count", "outlier_rate", lit_double(threshold).alias("threshold"), message.alias("message"))
 
 
 def iqr(table: Relation, column: str, multiplier: float) -> DataFrame:
     if not multiplier >= 0:
         raise ValueError("multiplier must not be negative")
     df = relation(table)
-    values = df.select(_double(df, column).alias("v")).where("v is not null")
+    values, base = _centred(df, column)
+    values = values.where("v is not null")
     good = values.where(finite(F.col("v")))
-    stats = good.agg(F.percentile("v", [0.25, 0.75]).alias("q")).select(F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+    stats = good.agg(F.max(base).alias("base"), F.percentile("v", [0.25, 0.75]).alias("q")).select("base", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     stats = stats.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("lower_bound", F.col("q1") - multiplier * F.col("iqr")).withColumn("upper_bound", F.col("q3") + multiplier * F.col("iqr"))
     is_good = finite(F.col("v"))
     outside = is_good & ((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")))
     found = values.crossJoin(F.broadcast(stats.select("lower_bound", "upper_bound"))).agg(_n(outside).alias("outlier_count"), _n(is_good).alias("total_count"), _n(~is_good).alias("odd"))
     out, note = stats.crossJoin(F.broadcast(found)), _nonfinite_note(F.col("odd"))
+    for c in ("q1", "q3", "lower_bound", "upper_bound"):
+        out = out.withColumn(c, F.col(c) + F.col("base"))
     bounds = joined_message("[", number(F.col("lower_bound")), ", ", number(F.col("upper_bound")), "]")
     message = (
         F.when(F.col("total_count") == 0, "No rows to evaluate (column is empty or all NULL)")

@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._base import Relation, column_names, finite, is_numeric, quoted, relation
+from ..functions import phone
 
 TOP = 5
-#: The patterns in the order in which they are tried; the uuid is in small letters only.
+#: The patterns in the order in which they are tried; phone asks phone.phonenumber_is_valid for US instead.
 PATTERNS = {
-    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
-    "phone": r"^\+?[0-9][0-9 ().-]{5,18}[0-9]$",
-    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "url": r"^https?://\S+$",
-    "ip_address": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
-    "iso_date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
-    "numeric_string": r"^-?[0-9]+(\.[0-9]+)?$",
+    "email": r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+[.][a-zA-Z]{2,}\z",
+    "phone": None,
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z",
+    "url": r"^https?://.+",
+    "ip_address": r"^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\z",
+    "iso_date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z",
+    "numeric_string": r"^[0-9]+\z",
 }
+#: What columns of other kinds are called.
+SHAPES = {T.ArrayType: "list", T.MapType: "map", T.StructType: "struct"}
 PATTERN_SHARE = 0.8
+#: Ranges of values that ranks are counted in.
+PARTS = 64
 
 
 def bucket(kind: T.DataType) -> str:
@@ -72,7 +77,7 @@ def profile_table(table: Relation, columns: str | list[str] | None = None, sampl
         if sampled := size > sample_size:
             df = df.sample(sample_size / size, seed=42)
     kinds = {f.name: f.dataType for f in df.schema}
-    stats = [F.count("*").alias("n")]
+    stats, phones = [F.count("*").alias("n")], []
     for i, c in enumerate(names):
         kind, raw, what = kinds[c], F.col(quoted(c)), bucket(kinds[c])
         v, d = _good(raw, kind), _good(raw, kind).cast("double") if what == "numeric" else F.lit(None).cast("double")
@@ -93,8 +98,18 @@ def profile_table(table: Relation, columns: str | list[str] | None = None, sampl
             put("avg_length", F.avg(length)), put("min_length", F.min(length)), put("max_length", F.max(length))
         if what == "string":
             for p, pattern in PATTERNS.items():
-                put(p, F.count(F.when(raw.rlike(pattern), 1)))
-    totals = df.agg(*stats)
+                # A phone number has seven digits at least: other texts aren't taken to Python.
+                digits = F.length(F.regexp_replace(raw, "[^0-9]", ""))
+                fits = raw.rlike(pattern) if pattern else F.when(digits.between(7, 17), phone.phonenumber_is_valid(F.when(digits.between(7, 17), raw), "US"))
+                if pattern:
+                    put(p, F.count(F.when(fits, 1)))
+                else:
+                    phones.append((i, fits))
+    if phones:
+        df_ = df.select("*", *(fits.alias(f"_phone{i}") for i, fits in phones))
+        totals = df_.agg(*stats, *(F.count(F.when(F.col(f"_phone{i}"), 1)).alias(f"c{i}_phone") for i, _ in phones))
+    else:
+        totals = df.agg(*stats)
 
     # (column, value) with its count: distinct numbers and the most frequent values of all columns from one shuffle.
     entries = []
@@ -118,6 +133,8 @@ def profile_table(table: Relation, columns: str | list[str] | None = None, sampl
         if what == "string":
             pattern = reduce(lambda acc, p: acc.when(F.col(f"c{i}_{p}") >= PATTERN_SHARE * filled, p), list(PATTERNS)[1:], F.when(F.col(f"c{i}_email") >= PATTERN_SHARE * filled, "email")).otherwise("mixed")
             pattern = F.when(filled > 0, pattern)
+        elif type(kind) in SHAPES:
+            pattern = F.lit(SHAPES[type(kind)])
         q = lambda k: F.get(F.col(f"c{i}_q"), F.lit(k)) if what == "numeric" else F.lit(None).cast("double")
         parts = {
             "i": F.lit(i), "column_name": F.lit(c), "column_type": F.lit(kind.simpleString()), "row_count": n, "null_count": n - filled, "null_rate": F.try_divide((n - filled).cast("double"), n),
@@ -166,27 +183,46 @@ def profile_correlations(table: Relation, columns: str | list[str] | None = None
     if bad:
         raise ValueError(f"not numeric: {', '.join(bad)}")
     df = df.select(*(F.col(quoted(c)).cast("double").alias(f"x{i}") for i, c in enumerate(names)))
-    frames = []
     clamp = lambda c: F.when(~F.isnan(c), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
-            both = df.select(F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b")).where(finite(F.col("a")) & finite(F.col("b")))
-            pairs = both.groupBy("a", "b").agg(F.count("*").alias("c"))
-            for side in ("a", "b"):
-                ranks = pairs.groupBy(side).agg(F.sum("c").alias("c")).withColumn(f"r{side}", F.sum("c").over(Window.orderBy(side)) - F.col("c") + 1).select(side, f"r{side}")
-                pairs = pairs.join(ranks, side)
-
-            def weighted(x: str, y: str) -> Column:
-                x, y, c = F.col(x).cast("double"), F.col(y).cast("double"), F.col("c")
-                n = F.sum(c)
-                mx, my = F.sum(x * c) / n, F.sum(y * c) / n
-                cov = F.sum(x * y * c) / n - mx * my
-                vx, vy = F.sum(x * x * c) / n - mx * mx, F.sum(y * y * c) / n - my * my
-                return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-
-            pearson = both.agg(clamp(F.corr("a", "b")).alias("pearson"), F.count("*").alias("n"))
-            spearman = pairs.agg(clamp(weighted("ra", "rb")).alias("spearman"))
-            frames.append(pearson.crossJoin(F.broadcast(spearman)).select(F.lit(names[i]).alias("column_a"), F.lit(names[j]).alias("column_b"), "pearson", "spearman", "n"))
-    if not frames:
+    couples = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    if not couples:
         return SparkSession.getActiveSession().createDataFrame([], "column_a string, column_b string, pearson double, spearman double, n long")
-    return reduce(DataFrame.union, frames)
+    fit = {(i, j): finite(F.col(f"x{i}")) & finite(F.col(f"x{j}")) for i, j in couples}
+    at = lambda i, j, k: F.when(fit[i, j], F.col(f"x{k}"))
+    plain = df.agg(*(e for i, j in couples for e in (clamp(F.corr(at(i, j, i), at(i, j, j))).alias(f"p{i}_{j}"), F.count(F.when(fit[i, j], 1)).alias(f"n{i}_{j}"))))
+    # A row for each pair: its two numbers, its Pearson value and its count.
+    plain = plain.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("pearson"), F.col(f"n{i}_{j}").alias("n")) for i, j in couples))).alias("x")).select("x.*")
+    frames = []
+    for i, j in couples:
+        both = df.select(F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b")).where(finite(F.col("a")) & finite(F.col("b")))
+        pairs = both.groupBy("a", "b").agg(F.count("*").alias("c"))
+        for side in ("a", "b"):
+            pairs = pairs.join(_ranks(pairs, side), side)
+
+        def weighted(x: str, y: str) -> Column:
+            x, y, c = F.col(x).cast("double"), F.col(y).cast("double"), F.col("c")
+            n = F.sum(c)
+            mx, my = F.sum(x * c) / n, F.sum(y * c) / n
+            cov = F.sum(x * y * c) / n - mx * my
+            vx, vy = F.sum(x * x * c) / n - mx * mx, F.sum(y * y * c) / n - my * my
+            return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+
+        frames.append(pairs.agg(clamp(weighted("ra", "rb")).alias("spearman")).select(F.lit(i).alias("i"), F.lit(j).alias("j"), "spearman"))
+    named = F.array(*map(F.lit, names))
+    out = plain.join(F.broadcast(reduce(DataFrame.union, frames)), ["i", "j"])
+    return out.orderBy("i", "j").select(F.get(named, F.col("i")).alias("column_a"), F.get(named, F.col("j")).alias("column_b"), "pearson", "spearman", "n")
+
+
+def _ranks(pairs: DataFrame, side: str) -> DataFrame:
+    """The minimum rank of each distinct value of side, by running sums within PARTS ranges of values.
+
+    The sums of the ranges before and the running sum inside give the rank, so that no task holds all values. Equal values
+    always fall into one range, wherever approximate quantiles put the bounds.
+    """
+    values = pairs.groupBy(side).agg(F.sum("c").alias("c"))
+    bounds = values.agg(F.percentile_approx(side, [k / PARTS for k in range(1, PARTS)]).alias("bounds"))
+    values = values.crossJoin(F.broadcast(bounds)).select(side, "c", F.size(F.filter("bounds", lambda b: b <= F.col(side))).alias("part"))
+    sums = values.groupBy("part").agg(F.sum("c").alias("all"))
+    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    inner = F.sum("c").over(Window.partitionBy("part").orderBy(side)) - F.col("c")
+    return values.withColumn("inner", inner).join(F.broadcast(before), "part").select(side, (F.col("before") + F.col("inner") + 1).alias(f"r{side}"))
