@@ -10,16 +10,21 @@ from .checks import table
 
 def anomaly_dbscan(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice", 0).alias("p"))
-    return anomaly.dbscan(df, "p", 20.0, 4, "clusters", id_column="o_orderkey").select(F.col("id").alias("o_orderkey"), "point_type", "neighbor_count")
+    return anomaly.dbscan(df, "p", 20.0, 4, "clusters", id_column="o_orderkey").select(F.col("id").alias("o_orderkey"), "value", "cluster_id", "point_type", "neighbor_count", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
 _DBSCAN = """
-WITH f AS (SELECT o_orderkey, round(o_totalprice, 0) AS v FROM orders),
+WITH f AS (SELECT o_orderkey, round(o_totalprice, 0) AS v, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders),
 n AS (SELECT *, count(*) OVER (ORDER BY v RANGE BETWEEN 20.0 PRECEDING AND 20.0 FOLLOWING) - 1 AS nb FROM f),
-c AS (SELECT DISTINCT v FROM n WHERE nb + 1 >= 4),
-b AS (SELECT v, (SELECT max(v) FROM c WHERE c.v <= n.v) AS under, (SELECT min(v) FROM c WHERE c.v >= n.v) AS over FROM (SELECT DISTINCT v FROM n WHERE nb + 1 < 4) n)
-SELECT o_orderkey, CASE WHEN nb + 1 >= 4 THEN 'CORE' WHEN b.v - b.under <= 20 OR b.over - b.v <= 20 THEN 'BORDER' ELSE 'NOISE' END AS point_type, nb AS neighbor_count
-FROM n LEFT JOIN b USING (v)
+g AS (SELECT v, rn, CASE WHEN v - lag(v) OVER (ORDER BY v, rn) > 20 THEN 1 ELSE 0 END AS new FROM n WHERE nb + 1 >= 4),
+r AS (SELECT v, rn, sum(new) OVER (ORDER BY v, rn) AS run FROM g),
+k AS (SELECT run, row_number() OVER (ORDER BY min(rn)) - 1 AS cluster FROM r GROUP BY run),
+c AS (SELECT DISTINCT v, cluster FROM r JOIN k USING (run)),
+b AS (SELECT n.v, min(c.cluster) AS border FROM (SELECT DISTINCT v FROM n WHERE nb + 1 < 4) n JOIN c ON c.v BETWEEN n.v - 20 AND n.v + 20 GROUP BY n.v),
+e AS (SELECT n.*, coalesce(c.cluster, b.border, -1) AS cluster, CASE WHEN nb + 1 >= 4 THEN 'CORE' WHEN b.border IS NOT NULL THEN 'BORDER' ELSE 'NOISE' END AS kind FROM n LEFT JOIN c ON c.v = n.v LEFT JOIN b ON b.v = n.v),
+m AS (SELECT max(nb)::DOUBLE AS m FROM e)
+SELECT o_orderkey, v AS value, cluster::INT AS cluster_id, kind AS point_type, nb AS neighbor_count,
+  round(CASE kind WHEN 'NOISE' THEN 1.0 WHEN 'CORE' THEN 0.1 + 0.2 * (1 - nb / m) ELSE 0.3 + 0.3 * (1 - nb / m) END, 6) AS anomaly_score, kind = 'NOISE' AS is_anomaly FROM e, m
 """
 
 
