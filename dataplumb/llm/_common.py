@@ -1,15 +1,16 @@
-"""What the operators share: names, the shared folder, connected components."""
+"""What the operators share: names, tables in the shared folder, connected components."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._base import quoted
+from .._tables import components, drop_stored, fresh_path, shared_dir, stored
+
+__all__ = ["WORD", "columns", "components", "documents", "drop_stored", "fresh", "fresh_path", "release", "shared_dir", "small", "stored"]
 
 #: A word: a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,42 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in a local session without it a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            return current.get()
-        found = f"file://{tempfile.mkdtemp(prefix='dataplumb-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, without lineage, and it outlives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def drop_stored(*tables: DataFrame) -> None:
-    """Delete tables made by stored() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are over: it does when their handles are collected."""
     gc.collect()
@@ -72,38 +37,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b), as (node, component) with the smallest node of each.
-
-    Alternating large and small stars: each round replaces edges by edges to smallest neighbours, and rounds grow with
-    the logarithm of the longest path. Every round is two aggregations with partial sums and two joins, which Spark can
-    split where a node is hot; nothing is gathered in one task or on the driver but two counters a round.
-    Loops and nulls are dropped; without edges the result is empty.
-    """
-    kind = edges.schema["a"].dataType
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = stored(now, "edges"), None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: every node with its smaller neighbours, all linked to the smallest of them.
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = stored(after, "edges")
-        # A forest of stars is stable: nothing on the right stands on the left too, and each left node stands once.
-        state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        drop_stored(now)
-        now = after
-        if state == before or not state["n"]:
-            break
-        before = state
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = nodes.union(now.select("v", F.col("v").alias("w")).distinct()).select(F.col("node").cast(kind), F.col("component").cast(kind))
-    out._stored_path = now._stored_path
-    return out
-
-
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else Spark chooses another join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
