@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, phone, pii, postal, validators, vat
 from ..operators import anomaly
+from ..operators.outlier_tree import outlier_tree
 from .checks import table
 
 QUERIES, ORACLES = {}, {}
@@ -172,3 +173,21 @@ def postal_built(spark, sf_dir):
     p = postal.postal_parse_address(F.concat(k, F.lit(" Mill Road, "), code, F.lit(" Kiel, Germany")))
     e = postal.postal_expand_address(F.concat(k, F.lit(" Mill Rd, "), code, F.lit(" Kiel, Germany")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", p["house_number"].alias("house_number"), p["road"].alias("road"), p["city"].alias("city"), p["postcode"].alias("postcode"), p["country"].alias("country"), F.get(e, F.lit(0)).alias("expanded"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 'shop' AS seg, CASE WHEN c_custkey % 1000 = 0 THEN 999.99 WHEN c_custkey % 7 = 0 THEN 1.2 ELSE 1.1 END::DOUBLE AS v FROM customer),
+m AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, 1.1::DOUBLE AS median FROM c),
+d AS (SELECT avg(abs(v - 1.1)) * sqrt(pi() / 2) AS mad FROM c)
+SELECT k AS c_custkey, 'v' AS column_name, '999.99' AS outlier_value, v AS outlier_value_num, round(mean, 6) AS cluster_mean, round(sd, 6) AS cluster_sd, median AS cluster_median, round(mad, 6) AS cluster_mad, n AS cluster_size,
+  round((v - median) / mad, 6) AS z_score, round(median - 2.67 * mad, 6) AS lower_bound, round(median + 2.67 * mad, 6) AS upper_bound, '[]' AS conditions, true AS told, round(power(mad / (v - median), 2), 9) AS outlier_score
+FROM c, m, d WHERE v > 900
+""")
+def anomaly_outlier_tree(spark, sf_dir):
+    v = F.when(F.col("c_custkey") % 1000 == 0, 999.99).when(F.col("c_custkey") % 7 == 0, 1.2).otherwise(1.1)
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.lit("shop").alias("seg"), v.alias("v"))
+    out = outlier_tree(df, "seg, v", "outliers", id_column="c_custkey").drop("row_id").withColumnRenamed("id", "c_custkey")
+    for c in ("cluster_mean", "cluster_sd", "cluster_mad", "z_score", "lower_bound", "upper_bound"):
+        out = out.withColumn(c, F.round(c, 6))
+    told = F.col("explanation").startswith("Value 999.99 for column 'v' is unusually high (median: 1.10, MAD: ")
+    return out.withColumn("outlier_score", F.round("outlier_score", 9)).withColumn("told", told).drop("explanation")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .functions import pii
 from .operators import anomaly, checks, diff, profile, suite
+from .operators.outlier_tree import outlier_tree
 
 #: Functions that sql() knows, with the names that SQL calls them by.
 TABLE_FUNCTIONS = {
@@ -24,7 +25,7 @@ TABLE_FUNCTIONS = {
     **{f.__name__: f for f in (checks.rel_count_change, checks.metric_anomaly_iqr, checks.rolling_values_in_set, checks.rel_count_change_events, checks.metric_anomaly_iqr_events, checks.rolling_values_in_set_events)},
     "diff_joindiff": diff.joindiff, "diff_hashdiff": diff.hashdiff, "diff_schema": diff.schema_diff, "run_checks": suite.run_checks,
     "profile_table": profile.profile_table, "profile_summary": profile.profile_summary, "profile_correlations": profile.profile_correlations,
-    "dbscan": anomaly.dbscan, "dbscan_mv": anomaly.dbscan_mv, "isolation_forest": anomaly.isolation_forest, "isolation_forest_mv": anomaly.isolation_forest_mv,
+    "dbscan": anomaly.dbscan, "dbscan_mv": anomaly.dbscan_mv, "isolation_forest": anomaly.isolation_forest, "isolation_forest_mv": anomaly.isolation_forest_mv, "outlier_tree": outlier_tree,
     "pii_scan_table": pii.pii_scan_table, "pii_audit_table": pii.pii_audit_table,
 }
 #: The checks of quality_check and what each takes.
