@@ -9,6 +9,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -87,6 +89,10 @@ def read_specs(table: Relation | list[dict]) -> list[Spec]:
     return specs
 
 
+#: The column of a filter's verdict.
+FILTER = "_filter"
+
+
 def day_tokens(text: str, today: dt.date) -> str:
     """${today} and ${yesterday}, with days added or taken away, as dates."""
 
@@ -97,9 +103,29 @@ def day_tokens(text: str, today: dt.date) -> str:
     return re.sub(r"\$\{\s*(today|yesterday)\s*([+-]\s*[0-9]+)?\s*\}", put, text, flags=re.IGNORECASE)
 
 
-def tolerant(text: str) -> str:
-    """User expressions with casts that give NULL instead of ending the query."""
-    return re.sub(r"\bcast\s*\(", "try_cast(", text, flags=re.IGNORECASE)
+@contextmanager
+def tolerant() -> Iterator[None]:
+    """What is resolved inside gives NULL where a value can't be computed (a cast, a division by zero) instead of ending the query.
+
+    Expressions keep the mode in which they were resolved, so that only those of the user are in this one.
+    """
+    conf = SparkSession.getActiveSession().conf
+    before = conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        conf.set("spark.sql.ansi.enabled", before)
+
+
+def with_condition(df: DataFrame, name: str, text: str, today: dt.date) -> DataFrame:
+    """df with the user's condition as a column."""
+    with tolerant():
+        return df.withColumn(name, checks.expression(day_tokens(text, today)).cast("boolean"))
+
+
+def filtered(df: DataFrame, text: str, today: dt.date) -> DataFrame:
+    return with_condition(df, FILTER, text, today).where(FILTER).drop(FILTER)
 
 
 def _check(spec: Spec) -> None:
@@ -123,8 +149,8 @@ def _need(spec: Spec, *keys: str) -> list:
     return [spec.column_name if k == "column_name" else spec.params[k] for k in keys]
 
 
-def _aggregate(spec: Spec, df: DataFrame, today: dt.date) -> Column | None:
-    """The value as one aggregate expression, for the types that have one."""
+def _aggregate(spec: Spec, df: DataFrame, today: dt.date, condition: str = "") -> Column | None:
+    """The value as one aggregate expression, for the types that have one. condition: the column of a compliance's expression."""
     share = lambda hit, among: F.try_divide(F.count(F.when(hit, 1)).cast("double"), F.count(among))
     kind = spec.check_type
     if kind == "volume":
@@ -134,8 +160,7 @@ def _aggregate(spec: Spec, df: DataFrame, today: dt.date) -> Column | None:
         keys = F.struct(*(col(df, n).alias(f"k{i}") for i, n in enumerate(column_names(df, names))))
         return (F.count("*") - F.count_distinct(keys)).cast("double")
     if kind == "compliance":
-        (text,) = _need(spec, "expression")
-        return share(checks.expression(tolerant(day_tokens(text, today))).cast("boolean"), F.lit(1))
+        return share(F.col(condition), F.lit(1))
     if kind in ("null_rate", "distinct_count", "regex_match", "values_in_set", "agg", "freshness"):
         (name,) = _need(spec, "column_name")
         c = col(df, name)
@@ -220,15 +245,21 @@ def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None,
     there = tables or {}
     now = run_ts or dt.datetime.now(dt.UTC).replace(tzinfo=None)
     spark, today = SparkSession.getActiveSession(), now.date()
-    groups: dict[tuple, list[tuple[Spec, Column]]] = {}
+    groups: dict[tuple, list[tuple[Spec, Column, str]]] = {}
+    conditions: dict[str, str] = {}
     frames, errors = [], []
     for spec in read_specs(table):
         try:
             _check(spec)
             df = whole = there.get(spec.table_name) or relation(spec.table_name)
             if spec.filter_expr:
-                df = df.where(checks.expression(tolerant(day_tokens(spec.filter_expr, today))).cast("boolean"))
-            value = _aggregate(spec, df, today)
+                df = filtered(df, spec.filter_expr, today)
+            condition = ""
+            if spec.check_type == "compliance":
+                condition = f"_condition{len(conditions)}"
+                conditions[condition] = _need(spec, "expression")[0]
+                df = with_condition(df, condition, conditions[condition], today)
+            value = _aggregate(spec, df, today, condition)
             if value is None:
                 single, spec = _single(spec, df, whole, today)
                 bounds = [F.col("low"), F.col("high")] if "low" in single.columns else [None, None]
@@ -239,7 +270,7 @@ def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None,
                 df.agg(value).schema  # noqa: B018
                 if spec.identifier_column:
                     col(df, spec.identifier_column)
-                groups.setdefault((spec.table_name, spec.filter_expr, spec.identifier_column), []).append((spec, value))
+                groups.setdefault((spec.table_name, spec.filter_expr, spec.identifier_column), []).append((spec, value, condition))
         except Exception as e:
             cause = str(e).split("\n")[0]
             bad = (now, spec.check_name, spec.check_type, spec.table_name, spec.column_name, None, None, spec.lower_threshold, spec.upper_threshold, "error", f"check '{spec.check_name}' ({spec.check_type}) cannot run: {cause}")
@@ -247,17 +278,19 @@ def run_checks(table: Relation | list[dict], run_ts: dt.datetime | None = None,
     for (name, condition, identifier), members in groups.items():
         df = there.get(name) or relation(name)
         note = None
-        values = [v.alias(f"v{k}") for k, (_, v) in enumerate(members)]
+        values = [v.alias(f"v{k}") for k, (_, v, _) in enumerate(members)]
         if condition:
-            e = checks.expression(tolerant(day_tokens(condition, today))).cast("boolean")
-            counted = df.agg(F.count("*").alias("all_rows"), F.count(F.when(e, 1)).alias("some_rows"))
-            df = df.where(e)
+            counted = with_condition(df, FILTER, condition, today).agg(F.count("*").alias("all_rows"), F.count(F.when(F.col(FILTER), 1)).alias("some_rows"))
+            df = filtered(df, condition, today)
+        for _, _, made in members:
+            if made:
+                df = with_condition(df, made, conditions[made], today)
         key = [col(df, identifier).cast("string").alias("identifier")] if identifier else []
         out = df.groupBy(*key).agg(*values)
         if condition:
             out = out.crossJoin(F.broadcast(counted))
             note = F.concat(F.lit("; filter matched "), F.col("some_rows").cast("string"), F.lit("/"), F.col("all_rows").cast("string"), F.lit(" rows"))
-        rows = F.array(*(_row(s, F.col(f"v{k}"), F.col("identifier") if identifier else F.lit(None), note=note) for k, (s, _) in enumerate(members)))
+        rows = F.array(*(_row(s, F.col(f"v{k}"), F.col("identifier") if identifier else F.lit(None), note=note) for k, (s, _, _) in enumerate(members)))
         frames.append(out.select(F.explode(rows).alias("r")).select("r.*"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     frames = [f.select(F.lit(now).cast("timestamp").alias("run_ts"), *names[1:]) for f in frames]

@@ -122,3 +122,19 @@ def test_forest_samples_rows(spark):
     values = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, 50.0).otherwise((F.col("id") % 2).cast("double")).alias("v"))
     flagged = anomaly.isolation_forest(values, "v", 50, 64, 0.02, "scores", 2, "id").where("is_anomaly").collect()
     assert {r.value for r in flagged} == {50.0} and len(flagged) == 200
+
+
+def test_suite_expressions_that_fail_on_a_row(spark):
+    df = spark.createDataFrame([(1, "7"), (2, "x"), (3, "9")], "v int, t string")
+    rows = [
+        {"check_name": "zero", "check_type": "compliance", "table_name": "t", "params": {"expression": "10 / (v - 1) > 0"}, "lower_threshold": 0.1},
+        {"check_name": "text", "check_type": "compliance", "table_name": "t", "params": {"expression": "cast(t as int) > 0"}, "lower_threshold": 0.1},
+        {"check_name": "short", "check_type": "compliance", "table_name": "t", "params": {"expression": "t::int > 0 OR t = 'cast(x)'"}, "lower_threshold": 0.1},
+        {"check_name": "some", "check_type": "volume", "table_name": "t", "filter_expr": "1 / (v - 2) < 5", "lower_threshold": 1},
+        {"check_name": "all", "check_type": "volume", "table_name": "t", "lower_threshold": 1},
+    ]
+    from dataplumb.operators import suite
+
+    got = {r.check_name: (r.status, r.value) for r in suite.run_checks(suite.define_checks(rows), tables={"t": df}).collect()}
+    assert {k: (s, round(v, 3)) for k, (s, v) in got.items()} == {"zero": ("pass", 0.667), "text": ("pass", 0.667), "short": ("pass", 0.667), "some": ("pass", 2.0), "all": ("pass", 3.0)}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
