@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile
+from . import _vector_sql, bpe, hnsw, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile, vectorcode
 from ._common import documents
 
 
@@ -56,6 +56,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 _MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS n_docs FROM sized GROUP BY source),
@@ -87,8 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_source_mix": op9_source_mix,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op9_source_mix": _MIX_SQL,
+    "op11_vector_codes": _vector_sql.sql(),
 }
