@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _vector_sql, bpe, hnsw, jaccard, langid, linededup, mixing, pii_crf, quality, secretscan, tokenfile, vectorcode
+from . import _repair_sql, _vector_sql, bpe, hnsw, jaccard, langid, linededup, mixing, packing, pii_crf, quality, secretscan, tokenfile, turnrepair, vectorcode
 from ._common import documents
 
 
@@ -60,6 +61,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcode.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turnrepair.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turnrepair.report(damaged, F.col("present"), F.col("copies"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 _MIX_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) FILTER (size > 0) AS n_docs FROM sized GROUP BY source),
@@ -92,9 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op9_source_mix": _MIX_SQL,
     "op11_vector_codes": _vector_sql.sql(),
+    "op12_turn_repair": _repair_sql.SQL,
 }
