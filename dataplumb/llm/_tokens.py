@@ -28,6 +28,8 @@ _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-
 #: What stands between units that are encoded together where spaces are dropped: a token of its own.
 _MARK = " | "
 _SPACES = table_of(b" \t\n\r")
+#: What ends a unit where spaces are dropped.
+_BREAKS = table_of(b" \n")
 _UNITS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
@@ -178,12 +180,13 @@ class Codec:
     def _cut(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the units of the texts begin (see _units); a text for which they aren't certain is one unit."""
         first = at[:-1][np.diff(at) > 0]
-        if self.split != "keeps spaces":
+        if not self.split:
             return first
-        space = _SPACES[data]
+        keeps = self.split == "keeps spaces"
+        space = (_SPACES if keeps else _BREAKS)[data]
         begins = np.zeros(len(data), bool)
         begins[1:] = space[1:] & ~space[:-1]
-        if _RARE_SPACE.search(data.tobytes().decode()):
+        if keeps and _RARE_SPACE.search(data.tobytes().decode()):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if _RARE_SPACE.search(data[a:b].tobytes().decode()):
                     begins[a:b] = False
