@@ -349,7 +349,7 @@ def pii_scan_table(table: Relation, columns: str | list[str] | None = None) -> D
 
 def pii_audit_table(table: Relation, columns: str | list[str] | None = None, strategy: str = "redact", id_column: str | None = None) -> DataFrame:
     """One row for each match: where it stands, the value, the value masked, and the matched text. Null values have none."""
-    from ..operators.anomaly import with_row_ids
+    from .._base import with_row_ids
 
     df = relation(table)
     names = column_names(df, columns) if columns else df.columns

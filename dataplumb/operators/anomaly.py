@@ -1,18 +1,17 @@
-"""Anomalies: density clusters and isolation forests."""
+"""Anomalies: density clusters; forests stand in forest.py."""
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._base import Relation, col, column_names, finite, quoted, relation
+from .._base import Relation, col, column_names, finite, relation, with_row_ids
 from .._tables import components, stored
+from .forest import isolation_forest, isolation_forest_mv
 
+__all__ = ["dbscan", "dbscan_mv", "isolation_forest", "isolation_forest_mv", "numbered"]
 
 #: Columns along which points are cut into cells: 3 ** GRID neighbours of each.
 GRID = 3
@@ -24,19 +23,6 @@ def numbered(df: DataFrame, columns: list[str], id_column: str | None) -> DataFr
     return with_row_ids(df.select(*ids, *(col(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))))
 
 
-def with_row_ids(df: DataFrame) -> DataFrame:
-    """row_id from 1 before df's columns: places in the partition plus the rows of the partitions before.
-
-    The counts have a row for each partition. They ask for all columns, so that both reads are planned alike.
-    """
-    some = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = some.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.max(F.struct(*(F.col(quoted(c)).isNull() for c in df.columns))).alias("_all"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    out = some.join(F.broadcast(before), part == F.col("_part"))
-    return out.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("row_id"), *(F.col(quoted(c)) for c in df.columns))
-
-
 def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, output_mode: str = "summary", id_column: str | None = None) -> DataFrame:
     """Density clusters of one column, exactly.
 
@@ -128,117 +114,3 @@ def _clustered(out: DataFrame, good: Column, values: list[str], eps: float, min_
     message = F.when(F.col("total_count") == 0, "No rows to evaluate (column is empty or all NULL)").otherwise(F.concat(F.col("cluster_count").cast("string"), F.lit(" cluster(s) and "), F.col("noise_count").cast("string"), F.lit(" noise point(s)")))
     more = [F.lit(n_columns).cast("int").alias("n_columns")] if n_columns else []
     return total.select(F.when(F.col("noise_count") > 0, "fail").otherwise("pass").alias("status"), "cluster_count", "noise_count", "total_count", rate.alias("noise_rate"), "largest_cluster_size", F.lit(float(eps)).alias("eps"), F.lit(int(min_pts)).cast("long").alias("min_pts"), *more, message.alias("message"))
-
-
-def average_path(n: float) -> float:
-    """Of an unsuccessful search in a tree of n."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-
-class Forest:
-    """Isolation trees over numeric columns, as arrays: feature (-1 at a leaf), split, left, right, path."""
-
-    def __init__(self, sample: np.ndarray, n_trees: int, sample_size: int, seed: int | None):
-        rng = np.random.default_rng(seed)
-        size = min(sample_size, len(sample))
-        self.limit = (math.ceil(math.log2(size)) if size > 1 else 0) + 1
-        self.norm = average_path(size) or 1.0
-        self.trees = [self._tree(sample[rng.choice(len(sample), size, replace=False)], rng) for _ in range(n_trees)]
-
-    def _tree(self, data: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        nodes: list[list[float]] = []
-        todo = [(data, 0, -1, 0)]
-        while todo:
-            part, depth, parent, side = todo.pop()
-            at = len(nodes)
-            if parent >= 0:
-                nodes[parent][2 + side] = at
-            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(1), np.zeros(1))
-            k = int(rng.integers(data.shape[1]))
-            if depth >= self.limit or len(part) <= 1 or low[k] == high[k]:
-                nodes.append([-1, 0, -1, -1, depth + average_path(len(part))])
-                continue
-            split = rng.uniform(low[k], high[k])
-            nodes.append([k, split, -1, -1, 0])
-            left = part[:, k] < split
-            todo += [(part[left], depth + 1, at, 0), (part[~left], depth + 1, at, 1)]
-        return np.array(nodes)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for tree in self.trees:
-            at = np.zeros(len(x), int)
-            live = np.flatnonzero(tree[at, 0] >= 0)
-            while len(live):
-                node = tree[at[live]]
-                right = x[live, node[:, 0].astype(int)] >= node[:, 1]
-                at[live] = np.where(right, node[:, 3], node[:, 2]).astype(int)
-                live = live[tree[at[live], 0] >= 0]
-            total += tree[at, 4]
-        return 2.0 ** (-(total / len(self.trees)) / self.norm)
-
-
-def _forest(table: Relation, columns: list[str], n_trees: int, sample_size: int, contamination: float, seed: int | None, id_column: str | None) -> DataFrame:
-    if not 1 <= n_trees <= 500 or not 1 <= sample_size <= 10000 or not 0 <= contamination <= 0.5:
-        raise ValueError("n_trees in 1..500, sample_size in 1..10000, contamination in 0..0.5")
-    df = relation(table)
-    rows = numbered(df, columns, id_column)
-    names = [f"x{i}" for i in range(len(columns))]
-    usable = F.lit(True)
-    for c in names:
-        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
-    rows = rows.where(usable)
-    inside = F.lit(True)
-    for c in names:
-        inside = inside & finite(F.col(c))
-    # The driver gets one bounded random sample of rows (not of values, of which equal ones hash alike).
-    most = min(n_trees * sample_size, 200_000)
-    sample = rows.where(inside).orderBy(F.xxhash64("row_id", F.lit(seed or 0)), "row_id").limit(most).select(*names).toPandas().to_numpy(float)
-    if not len(sample):
-        return rows.withColumn("anomaly_score", F.lit(1.0)).withColumn("is_anomaly", F.lit(True))
-    sent = df.sparkSession.sparkContext.broadcast(Forest(sample, n_trees, sample_size, seed))
-
-    @F.pandas_udf("double")
-    def score(*x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(np.column_stack([s.to_numpy(float) for s in x])))
-
-    scored = rows.withColumn("anomaly_score", F.when(inside, score(*(F.when(inside, F.col(c)).otherwise(0.0) for c in names))).otherwise(1.0)).withColumn("_inside", inside)
-    ranked = scored.where("_inside").agg(F.count("*").alias("n"), F.max("anomaly_score").alias("top"), F.min("anomaly_score").alias("low"))
-    # The score at place floor((1 - contamination) (n - 1)) is the cut; tied scores differ by rounding only.
-    place = F.floor(F.lit(1.0 - contamination) * (F.col("n") - 1))
-    tie = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
-    cut = scored.where("_inside").crossJoin(F.broadcast(ranked.select(place.alias("place"))))
-    # Counts by score, which are few as trees have few leaves; running sums over them by ranges of scores.
-    cells = cut.groupBy(F.floor(F.col("anomaly_score") * 4096).alias("cell"), "place").agg(F.count("*").alias("c"))
-    ran = cells.withColumn("upto", F.sum("c").over(Window.orderBy("cell")))
-    here = ran.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place"))).select(F.col("cell").alias("here"), (F.col("place") - F.col("upto") + F.col("c")).alias("inner"))
-    band = cut.crossJoin(F.broadcast(here)).where(F.floor(F.col("anomaly_score") * 4096) == F.col("here")).groupBy("anomaly_score", "inner").agg(F.count("*").alias("c"))
-    band = band.withColumn("upto", F.sum("c").over(Window.orderBy("anomaly_score")))
-    cut = band.where((F.col("upto") > F.col("inner")) & (F.col("upto") - F.col("c") <= F.col("inner"))).agg(F.max("anomaly_score").alias("cut"))
-    out = scored.crossJoin(F.broadcast(ranked)).crossJoin(F.broadcast(cut))
-    none = tie(F.col("top"), F.col("low")) | (place >= F.col("n") - 1)
-    flag = F.when(~F.col("_inside"), True).when(none, False).when(tie(F.col("cut"), F.col("top")), tie(F.col("anomaly_score"), F.col("top"))).otherwise((F.col("anomaly_score") > F.col("cut")) & ~tie(F.col("anomaly_score"), F.col("cut")))
-    return out.withColumn("is_anomaly", F.coalesce(flag, F.lit(False))).drop("n", "top", "low", "cut", "_inside")
-
-
-def isolation_forest(table: Relation, column: str, n_trees: int = 100, sample_size: int = 256, contamination: float = 0.1, output_mode: str = "summary", seed: int | None = None, id_column: str | None = None) -> DataFrame:
-    out = _forest(table, [column], n_trees, sample_size, contamination, seed, id_column)
-    if output_mode == "scores":
-        return out.select("row_id", *(["id"] if id_column else []), F.col("x0").alias("value"), "anomaly_score", "is_anomaly")
-    return _summary(out.withColumn("avg", F.when(finite(F.col("x0")), F.col("x0"))), contamination, n_trees, output_mode, F.avg("avg").alias("avg_value"))
-
-
-def isolation_forest_mv(table: Relation, columns: str | list[str], n_trees: int = 100, sample_size: int = 256, contamination: float = 0.1, output_mode: str = "summary", seed: int | None = None, id_column: str | None = None) -> DataFrame:
-    names = column_names(relation(table), columns)
-    out = _forest(table, names, n_trees, sample_size, contamination, seed, id_column)
-    if output_mode == "scores":
-        return out.select("row_id", *(["id"] if id_column else []), "anomaly_score", "is_anomaly")
-    return _summary(out, contamination, n_trees, output_mode).withColumn("n_columns", F.lit(len(names)))
-
-
-def _summary(out: DataFrame, contamination: float, n_trees: int, output_mode: str, *more: Column) -> DataFrame:
-    if output_mode != "summary":
-        raise ValueError("output_mode must be 'summary' or 'scores'")
-    total = out.agg(F.count(F.when(F.col("is_anomaly"), 1)).alias("outlier_count"), F.count("*").alias("total_count"), *more)
-    message = F.when(F.col("total_count") == 0, "No rows to evaluate (column is empty or all NULL)").otherwise(F.concat(F.col("outlier_count").cast("string"), F.lit(" outlier(s) in "), F.col("total_count").cast("string"), F.lit(" rows")))
-    return total.select(F.when(F.col("outlier_count") > 0, "fail").otherwise("pass").alias("status"), "outlier_count", "total_count", *(["avg_value"] if more else []), F.lit(float(contamination)).alias("contamination"), F.lit(n_trees).alias("n_trees"), message.alias("message"))

@@ -34,6 +34,7 @@ from .._base import (
     relation,
     relation_name,
 )
+from .._order import order_statistics
 
 SAMPLES = 5
 
@@ -185,7 +186,8 @@ def iqr(table: Relation, column: str, multiplier: float) -> DataFrame:
     values, base = _centred(df, column)
     values = values.where("v is not null")
     good = values.where(finite(F.col("v")))
-    stats = good.agg(F.max(base).alias("base"), F.percentile("v", [0.25, 0.75]).alias("q")).select("base", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
+    quartiles = order_statistics(good, {"q": (F.col("v"), [0.25, 0.75])})
+    stats = good.agg(F.max(base).alias("base")).crossJoin(F.broadcast(quartiles)).select("base", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))
     stats = stats.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("lower_bound", F.col("q1") - multiplier * F.col("iqr")).withColumn("upper_bound", F.col("q3") + multiplier * F.col("iqr"))
     is_good = finite(F.col("v"))
     outside = is_good & ((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")))
@@ -266,8 +268,15 @@ def aggregate_value(df: DataFrame, column: str, agg: str) -> tuple[Column, Colum
 def agg_check(table: Relation, column: str, agg: str, lower: float | None, upper: float | None) -> DataFrame:
     in_order(lower, upper)
     df, keyword = relation(table), agg.strip().lower()
-    value, odd = aggregate_value(df, column, agg)
-    out, v = df.agg(value.alias("value"), odd.alias("odd")), F.col("value")
+    v = F.col("value")
+    if keyword == "median":
+        # Of all values an exact order statistic; NaN and infinite ones are counted, and the value is NaN then.
+        c = _double(df, column)
+        middle = order_statistics(df, {"q": (F.when(finite(c), c), [0.5])})
+        out = df.agg(_n(c.isNotNull() & ~finite(c)).alias("odd")).crossJoin(F.broadcast(middle)).select(F.when(F.col("odd") > 0, float("nan")).otherwise(F.get("q", F.lit(0))).alias("value"), "odd")
+    else:
+        value, odd = aggregate_value(df, column, agg)
+        out = df.agg(value.alias("value"), odd.alias("odd"))
     head = joined_message(f"{keyword} value ", number(v))
     message = F.when(v.isNull(), f"No non-NULL values to evaluate; {keyword} check passed trivially").when(F.isnan(v), joined_message(f"{keyword} value is NaN: the column contains ", F.col("odd"), " NaN/Inf value(s)")).otherwise(_bounded_message(head, v, lower, upper, number_of))
     return out.select(_status(F.isnan(v) | _outside(v, lower, upper)), F.lit(keyword).alias("agg"), "value", lit_double(lower).alias("lower_threshold"), lit_double(upper).alias("upper_threshold"), message.alias("message"))

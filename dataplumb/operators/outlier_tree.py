@@ -13,9 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .._base import Relation, col, column_names, finite, is_numeric, relation
+from .._base import Relation, col, column_names, finite, is_numeric, relation, with_row_ids
 from .._tables import stored
-from .anomaly import with_row_ids
 
 #: What makes the median and the mean of absolute deviations comparable to a standard deviation.
 MAD_SCALE, MEAN_SCALE, ZERO = 1.4826, math.sqrt(math.pi / 2), 1e-10

@@ -1,6 +1,6 @@
 """Column profiles, table summaries and correlations.
 
-All columns' plain statistics come from one aggregation over one scan; distinct counts and the most frequent values come from one
+All columns' plain statistics come from one aggregation over one scan, quartiles of all columns from counts; distinct counts and the most frequent values come from one
 count by (column, value), which combines before its shuffle.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._base import Relation, column_names, finite, is_numeric, quoted, relation
+from .._order import order_statistics
 from ..functions import phone
 
 TOP = 5
@@ -31,6 +32,8 @@ SHAPES = {T.ArrayType: "list", T.MapType: "map", T.StructType: "struct"}
 PATTERN_SHARE = 0.8
 #: Ranges of values that ranks are counted in.
 PARTS = 64
+#: Columns of about so many values at most have their table of ranks broadcast.
+FEW = 100_000
 
 
 def bucket(kind: T.DataType) -> str:
@@ -77,14 +80,15 @@ def profile_table(table: Relation, columns: str | list[str] | None = None, sampl
         if sampled := size > sample_size:
             df = df.sample(sample_size / size, seed=42)
     kinds = {f.name: f.dataType for f in df.schema}
-    stats, phones = [F.count("*").alias("n")], []
+    stats, phones, quartiles = [F.count("*").alias("n")], [], {}
     for i, c in enumerate(names):
         kind, raw, what = kinds[c], F.col(quoted(c)), bucket(kinds[c])
         v, d = _good(raw, kind), _good(raw, kind).cast("double") if what == "numeric" else F.lit(None).cast("double")
         put = lambda key, value, i=i: stats.append(value.alias(f"c{i}_{key}"))
         put("count", F.count(raw))
         if what == "numeric":
-            put("mean", F.avg(d)), put("stddev", F.stddev_samp(d)), put("q", F.percentile(d, [0.25, 0.5, 0.75]))
+            put("mean", F.avg(d)), put("stddev", F.stddev_samp(d))
+            quartiles[f"c{i}_q"] = (d, [0.25, 0.5, 0.75])
             put("skewness", _skewness(d)), put("kurtosis", _kurtosis(d))
             put("zero", F.count(F.when(v == 0, 1))), put("negative", F.count(F.when(v < 0, 1)))
             inexact = isinstance(kind, T.FloatType | T.DoubleType)
@@ -110,6 +114,8 @@ def profile_table(table: Relation, columns: str | list[str] | None = None, sampl
         totals = df_.agg(*stats, *(F.count(F.when(F.col(f"_phone{i}"), 1)).alias(f"c{i}_phone") for i, _ in phones))
     else:
         totals = df.agg(*stats)
+    if quartiles:
+        totals = totals.crossJoin(F.broadcast(order_statistics(df, quartiles)))
 
     # (column, value) with its count: distinct numbers and the most frequent values of all columns from one shuffle.
     entries = []
@@ -174,8 +180,9 @@ def profile_summary(table: Relation) -> DataFrame:
 def profile_correlations(table: Relation, columns: str | list[str] | None = None) -> DataFrame:
     """Pearson's and Spearman's correlation of each pair of numeric columns over rows where both are finite.
 
-    Ranks are minimum ranks on ties. All Pearson correlations come from one aggregation; each pair's ranks come from counts of
-    distinct values, so that the running sums run over distinct values only.
+    Ranks are minimum ranks on ties. All Pearson correlations come from one aggregation. Columns that are finite everywhere are
+    ranked once each, and all of their pairs come from one more; the ranks of a pair with another column are of
+    its rows alone, from counts of distinct values. Runs one aggregation when called, which tells these columns.
     """
     df = relation(table)
     names = column_names(df, columns) if columns else [f.name for f in df.schema if is_numeric(f.dataType)]
@@ -192,8 +199,21 @@ def profile_correlations(table: Relation, columns: str | list[str] | None = None
     plain = df.agg(*(e for i, j in couples for e in (clamp(F.corr(at(i, j, i), at(i, j, j))).alias(f"p{i}_{j}"), F.count(F.when(fit[i, j], 1)).alias(f"n{i}_{j}"))))
     # A row for each pair: its two numbers, its Pearson value and its count.
     plain = plain.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("pearson"), F.col(f"n{i}_{j}").alias("n")) for i, j in couples))).alias("x")).select("x.*")
-    frames = []
+    # Which columns are finite everywhere, and about how many values each has.
+    xs = [F.col(f"x{i}") for i in range(len(names))]
+    known = df.agg(*(F.count(F.when(~F.coalesce(finite(x), F.lit(False)), 1)).alias(f"odd{i}") for i, x in enumerate(xs)), *(F.approx_count_distinct(x).alias(f"many{i}") for i, x in enumerate(xs))).first()
+    whole = [i for i in range(len(names)) if not known[f"odd{i}"]]
+    frames, together = [], [(i, j) for i, j in couples if i in whole and j in whole]
+    if together:
+        ranked = df.select(*(f"x{i}" for i in whole))
+        for i in whole:
+            ranks = _ranks(df.groupBy(f"x{i}").agg(F.count("*").alias("c")), f"x{i}")
+            ranked = ranked.join(F.broadcast(ranks) if known[f"many{i}"] <= FEW else ranks, f"x{i}")
+        found = ranked.agg(*(clamp(F.corr(F.col(f"rx{i}").cast("double"), F.col(f"rx{j}").cast("double"))).alias(f"s{i}_{j}") for i, j in together))
+        frames.append(found.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}_{j}").alias("spearman")) for i, j in together))).alias("x")).select("x.*"))
     for i, j in couples:
+        if (i, j) in together:
+            continue
         both = df.select(F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b")).where(finite(F.col("a")) & finite(F.col("b")))
         pairs = both.groupBy("a", "b").agg(F.count("*").alias("c"))
         for side in ("a", "b"):

@@ -33,5 +33,59 @@ def anomaly_forest(spark, sf_dir):
     return anomaly.isolation_forest(df, "p", 50, 256, 0.01, "scores", 42, "o_orderkey").where("is_anomaly").select("id", "value", "is_anomaly")
 
 
-QUERIES = {"anomaly_dbscan": anomaly_dbscan, "anomaly_forest": anomaly_forest}
-ORACLES = {"anomaly_dbscan": _DBSCAN}
+def _unit(k, salt: int):
+    """A number in -1..1 made from a whole one; exact, so that SQL needn't make it too."""
+    return F.pmod(k * 7919 + salt, F.lit(2001)) / 1000 - 1
+
+
+def _share(df, planted) -> float:
+    """The contamination that lets exactly as many rows be flagged as are planted. Runs a count."""
+    n, m = df.agg(F.count("*"), F.count(F.when(planted, 1))).first()
+    return (m - 0.5) / max(n - 1, 1)
+
+
+def _flagged(df, columns, planted, *args, **options):
+    out = anomaly.isolation_forest_mv(df, columns, 100, 256, _share(df, planted), "scores", 42, *args, id_column="o_orderkey", **options)
+    return out.where("is_anomaly").select(F.col("id").alias("o_orderkey"))
+
+
+_PLANTED = "SELECT o_orderkey FROM orders WHERE o_orderkey % 100 = 0"
+
+
+def anomaly_forest_mixed(spark, sf_dir):
+    """Planted rows have categories of their own and other prices: they and no others are flagged."""
+    planted = F.col("o_orderkey") % 100 == 0
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, F.concat(F.lit("odd"), F.col("o_orderkey") % 5)).otherwise(F.col("o_orderpriority")).alias("kind"), F.when(planted, F.col("o_totalprice") * 3 + 2e6).otherwise(F.col("o_totalprice")).alias("price"))
+    return _flagged(df, "kind,price", planted)
+
+
+def anomaly_forest_planes(spark, sf_dir):
+    """Two numbers that go together, but for the planted rows; each number alone is as in other rows."""
+    k, planted = F.col("o_orderkey"), F.col("o_orderkey") % 100 == 0
+    x, noise = _unit(k, 0), _unit(F.floor(k / 3), 17) / 100
+    far = F.when(x < 0, -0.4).otherwise(0.4) + x / 3
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, far).otherwise(x).alias("x"), F.when(planted, -far).otherwise(x + noise).alias("y"))
+    return _flagged(df, "x,y", planted, 2, "normal", ntry=10, prob_pick_avg_gain=0.5)
+
+
+def anomaly_forest_density(spark, sf_dir):
+    """One value stands in large leaves, the planted ones in leaves of their own."""
+    planted = F.col("o_orderkey") % 100 == 0
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, F.col("o_orderkey") + 1000.0).otherwise(5.0).alias("v"))
+    return _flagged(df, "v", planted, 1, "uniform", "density")
+
+
+def anomaly_forest_weights(spark, sf_dir):
+    """A value that is rare among the rows and common in samples by weight: flagged without weights, and not with them."""
+    planted = F.col("o_orderkey") % 100 == 0
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, 1000.0).otherwise(_unit(F.col("o_orderkey"), 3)).alias("v"), F.when(planted, 1e5).otherwise(1.0).alias("w"))
+    plain, weighted = _flagged(df, "v", planted), _flagged(df, "v", planted, weight_column="w")
+    both = df.where(planted).select("o_orderkey").join(plain.withColumn("plain", F.lit(True)), "o_orderkey", "left").join(weighted.withColumn("weighted", F.lit(True)), "o_orderkey", "left")
+    return both.select("o_orderkey", F.coalesce("plain", F.lit(False)).alias("plain"), F.coalesce("weighted", F.lit(False)).alias("weighted"))
+
+
+QUERIES = {"anomaly_dbscan": anomaly_dbscan, "anomaly_forest": anomaly_forest, "anomaly_forest_mixed": anomaly_forest_mixed, "anomaly_forest_planes": anomaly_forest_planes, "anomaly_forest_density": anomaly_forest_density, "anomaly_forest_weights": anomaly_forest_weights}
+ORACLES = {
+    "anomaly_dbscan": _DBSCAN, "anomaly_forest_mixed": _PLANTED, "anomaly_forest_planes": _PLANTED, "anomaly_forest_density": _PLANTED,
+    "anomaly_forest_weights": "SELECT o_orderkey, true AS plain, false AS weighted FROM orders WHERE o_orderkey % 100 = 0",
+}
