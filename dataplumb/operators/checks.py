@@ -316,8 +316,8 @@ def occurrence(table: Relation, column: str, mode: str, lower: int | None, upper
     return out.select(_status(_outside(n, low, high)), F.lit(keyword).alias("mode"), n, "extreme_value", "distinct_values", lit_long(low).alias("lower_threshold"), lit_long(high).alias("upper_threshold"), message.alias("message"))
 
 
-def match_rate(left: Relation, right: Relation, left_keys: str | list[str], right_keys: str | list[str], min_rate: float = 1.0) -> DataFrame:
-    l, r, least = relation(left), relation(right), rate(min_rate, "min_rate")  # noqa: E741
+def matched(l: DataFrame, r: DataFrame, left_keys: str | list[str], right_keys: str | list[str]) -> DataFrame:  # noqa: E741
+    """One row: matched_count, total_count, null_keys, samples and match_rate (0 without rows)."""
     lk, rk = column_names(l, left_keys), column_names(r, right_keys)
     if len(lk) != len(rk):
         raise ValueError("left_keys and right_keys must be of one length")
@@ -332,7 +332,12 @@ def match_rate(left: Relation, right: Relation, left_keys: str | list[str], righ
     out = joined.agg(total(known & F.col("hit").isNotNull()).alias("matched_count"), total(known).alias("total_count"), total(F.col("null_key")).alias("null_keys"))
     missing = joined.where(known & F.col("hit").isNull()).select(key_text([F.col(n) for n in names]).alias("t")).orderBy("t").limit(SAMPLES)
     out = out.crossJoin(F.broadcast(missing.agg(F.array_sort(F.collect_list("t")).alias("samples"))))
-    out = out.withColumn("match_rate", F.coalesce(F.try_divide(F.col("matched_count").cast("double"), F.col("total_count")), F.lit(0.0)))
+    return out.withColumn("match_rate", F.coalesce(F.try_divide(F.col("matched_count").cast("double"), F.col("total_count")), F.lit(0.0)))
+
+
+def match_rate(left: Relation, right: Relation, left_keys: str | list[str], right_keys: str | list[str], min_rate: float = 1.0) -> DataFrame:
+    least = rate(min_rate, "min_rate")
+    out = matched(relation(left), relation(right), left_keys, right_keys)
     head = joined_message("Match rate ", number(F.col("match_rate")), " (", F.col("matched_count"), "/", F.col("total_count"), ")")
     nulls = F.when((F.col("total_count") > 0) & (F.col("null_keys") > 0), joined_message("; ", F.col("null_keys"), " row(s) with a NULL key excluded")).otherwise("")
     message = (
@@ -444,8 +449,11 @@ def metric_anomaly_iqr(table: Relation, date_column: str, metric_column: str | N
     return out.select(_status(fails), F.col("ref").alias("reference_date"), "metric_value", "q1", "q3", "lower_bound", "upper_bound", "baseline_days", F.lit(mode).alias("mode"), message.alias("message")).orderBy("reference_date")
 
 
-def rolling_values_in_set(table: Relation, column: str, allowed: list, date_column: str, window_days: int = 7, min_rate: float = 1.0, reference_date: Day = None, *, start_date: Day = None, end_date: Day = None) -> DataFrame:
-    """The share of allowed values over the last days, the reference date included; ordered by date."""
+def rolling_values_in_set(table: Relation, column: str, allowed: list, date_column: str, window_days: int = 7, min_rate: float = 1.0, reference_date: Day = None, *, start_date: Day = None, end_date: Day = None, refs: DataFrame | None = None) -> DataFrame:
+    """The share of allowed values over the last days, the reference date included; ordered by date.
+
+    refs: a DataFrame (ref) of the dates, instead of the last one in the data.
+    """
     df, w, least = relation(table), _window(window_days), rate(min_rate, "min_rate")
     if not allowed:
         raise ValueError("allowed must not be empty")
@@ -457,7 +465,7 @@ def rolling_values_in_set(table: Relation, column: str, allowed: list, date_colu
         F.coalesce(F.sum(F.when(F.col("good"), F.col("c"))), F.lit(0)).alias("good"), F.sum("c").alias("c"), F.collect_list(F.when(~F.col("good") & (F.col("nth") <= SAMPLES), F.col("v"))).alias("bad")
     )
     days = df.select(day(df, date_column).alias("d")).where("d is not null")
-    refs = _reference_days(days, reference_date, start_date, end_date)
+    refs = _reference_days(days, reference_date, start_date, end_date) if refs is None else refs
     near = (F.col("d") <= F.col("ref")) & (F.col("d") > F.date_sub("ref", w))
     out = refs.join(daily, near, "left").groupBy("ref").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("in_set_count"), F.coalesce(F.sum("c"), F.lit(0)).alias("total_count"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("bad")))), 1, SAMPLES).alias("sample_violations"))
     out = out.withColumn("in_set_rate", F.coalesce(F.try_divide(F.col("in_set_count").cast("double"), F.col("total_count")), F.lit(0.0)))
