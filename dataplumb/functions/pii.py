@@ -3,7 +3,8 @@
 All 22 types are there. NAME goes by a list of given names, with a confidence of 0.5; ORGANIZATION, LOCATION and MISC find nothing
 without an entity model (see Entities). POSTAL_CODE is looked for only where it is named. Positions are bytes of the UTF-8 text. Overlaps
 go to the earlier, then the longer match, then the earlier type, patterns before names; a URL without a user that holds an email address
-is not a match beside EMAIL. Card numbers and IBANs may span one line break.
+is not a match beside EMAIL. Spaces of Unicode count as ASCII ones; card numbers and IBANs may span one line break. Which types, from
+what confidence on, whether check digits must fit and how to mask without being told are settings (config.py).
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._base import Relation, column_name, column_names, quoted, relation
-from . import pii_kinds
-from .validators import IBAN_LENGTHS
+from ..config import Config, active
+from . import phone, pii_kinds, pii_text
 
 
 def _digits(v: str) -> str:
@@ -34,11 +35,6 @@ def _card(v: str) -> bool:
     return 13 <= len(_digits(v)) <= 19 and _luhn(_digits(v)) and _digits(v)[0] in "23456"
 
 
-def _iban(v: str) -> bool:
-    n = re.sub(r"[^A-Z0-9]", "", v.upper())
-    return IBAN_LENGTHS.get(n[:2]) == len(n) and int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
-
-
 def _tax_id(v: str) -> bool:
     d, p = _digits(v), 10
     times = sorted((d[:10].count(c) for c in set(d[:10])), reverse=True)
@@ -49,6 +45,10 @@ def _tax_id(v: str) -> bool:
     return (11 - p) % 10 == int(d[10])
 
 
+def _may_be_number(number: str) -> bool | None:
+    return phone.parse(number, None)["valid"]
+
+
 def _ip(v: str) -> bool:
     return all(int(x) <= 255 for x in v.split("."))
 
@@ -96,17 +96,17 @@ _IPV6_RUN, _ASCII_WORD, _ZONE = re.compile("[0-9A-Fa-f:.]{2,}"), re.compile("[A-
 
 #: Types in order, each with its pattern and validator.
 TYPES = {
-    "EMAIL": (re.compile(r"(?<![\w.+-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"), None),
-    "CREDIT_CARD": (re.compile(r"(?<![0-9.-])[0-9](?:(?:[ .-]|[ .-]?\r?\n)?[0-9]){12,18}(?![0-9-])"), lambda v: v.count("\n") <= 1 and _card(v)),
+    "EMAIL": (pii_text.emails, None),
+    "CREDIT_CARD": (re.compile(r"(?<![0-9.-])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9-])"), _card),
     "US_SSN": (re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}([- ])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![0-9-])"), None),
-    "IBAN": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?:[ -]|[ -]?\r?\n)?[A-Z0-9]{4}){2,7}(?:(?:[ -]|[ -]?\r?\n)?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda v: v.count("\n") <= 1 and _iban(v)),
+    "IBAN": (pii_text.ibans, None),
     "DE_TAX_ID": (re.compile(r"(?<![0-9])[0-9]{11}(?![0-9])"), _tax_id),
     "IP_ADDRESS": (re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _ip),
     "URL": (re.compile(r"\b(?:https?|ftps?)://[^\s<>\"']+[^\s<>\"'.,;:!?)]", re.IGNORECASE), None),
-    "MAC_ADDRESS": (re.compile(r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])"), None),
+    "MAC_ADDRESS": (pii_text.macs, None),
     "UK_NINO": (re.compile(r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b"), None),
     "US_PASSPORT": (re.compile(r"(?<![A-Za-z0-9])[A-Za-z][0-9]{8}(?![A-Za-z0-9])"), None),
-    "PHONE": (re.compile(r"(?<![\w+.-])(?:\+|00)[1-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,4}\)?){2,6}(?![\w-])"), lambda v: 7 <= len(_digits(v)) <= 15),
+    "PHONE": (lambda text: pii_text.phones(text, _may_be_number), None),
     "CRYPTO_ADDRESS": (pii_kinds.crypto_addresses, None),
     "API_KEY": (pii_kinds.api_keys, None),
     "DATE_OF_BIRTH": (pii_kinds.births, None),
@@ -122,6 +122,10 @@ TYPES = {
 #: Other names of types; types that are looked for only where they are named; those of an entity model.
 ALIASES = {"CREDITCARD": "CREDIT_CARD", "CC": "CREDIT_CARD", "SSN": "US_SSN", "IP": "IP_ADDRESS", "STEUER_ID": "DE_TAX_ID", "GERMAN_TAX_ID": "DE_TAX_ID", "PERSON": "NAME", "PERSON_NAME": "NAME", "ORG": "ORGANIZATION", "COMPANY": "ORGANIZATION", "LOC": "LOCATION", "PLACE": "LOCATION", "GEO": "LOCATION", "MISCELLANEOUS": "MISC", "OTHER": "MISC", "PASSPORT": "US_PASSPORT", "CRYPTO": "CRYPTO_ADDRESS", "NINO": "UK_NINO", "MAC": "MAC_ADDRESS", "APIKEY": "API_KEY", "KEY": "API_KEY", "DOB": "DATE_OF_BIRTH", "BIRTH_DATE": "DATE_OF_BIRTH", "SVNR": "DE_SVNR", "RVNR": "DE_SVNR", "KVNR": "DE_KVNR", "KRANKENVERSICHERTENNUMMER": "DE_KVNR", "PERSONALAUSWEIS": "DE_ID_CARD", "POSTCODE": "POSTAL_CODE", "ZIP": "POSTAL_CODE", "PLZ": "POSTAL_CODE"}
 ON_REQUEST = ("POSTAL_CODE",)
+#: Types whose check digits keep unrelated numbers on two lines apart: found over a line break too.
+WRAPPED = ("IBAN", "CREDIT_CARD")
+#: What isn't sure: names without a model, and values whose check digits fail, where these are asked for.
+NAME_CONFIDENCE, FAILED_CONFIDENCE = 0.5, 0.6
 ENTITIES = ("NAME", "ORGANIZATION", "LOCATION", "MISC")
 DEFAULT_TYPES = tuple(t for t in TYPES if t not in ON_REQUEST)
 #: An entity model: a text to (type, start, end, confidence) in characters. None is built in.
@@ -132,35 +136,58 @@ MATCH = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.Struc
 STRATEGIES = ("redact", "asterisk", "hash", "partial", "none")
 
 
-def matches(text: str, types: tuple[str, ...] | None = None) -> list[tuple[str, int, int]]:
+def _spans(name: str, text: str) -> list[tuple[int, int]]:
+    """Of one type in a text with ASCII spaces."""
+    pattern, valid = TYPES[name]
+    found = list(pattern(text)) if callable(pattern) else [m.span() for m in pattern.finditer(text) if valid is None or valid(m[0])]
+    return found + _ipv6(text) if name == "IP_ADDRESS" else found
+
+
+def _failed(name: str, text: str) -> list[tuple[int, int]]:
+    """Of the shape of a type whose check digits don't fit."""
+    if name == "IBAN":
+        return list(pii_text.wrong_ibans(text))
+    if name == "CREDIT_CARD":
+        return [m.span() for m in TYPES[name][0].finditer(text) if not _card(m[0]) and 13 <= len(_digits(m[0])) <= 19 and _digits(m[0])[0] in "3456"]
+    return []
+
+
+def matches(text: str, types: tuple[str, ...] | None = None, config: Config | None = None) -> list[tuple[str, int, int]]:
     """(type, start, end) in characters, without overlaps."""
-    found = []
-    for order, (name, (pattern, valid)) in enumerate(TYPES.items()):
-        if name not in (DEFAULT_TYPES if types is None else types) or (name not in ENTITIES and not _MARK.search(text)):
+    return [(name, a, b) for name, a, b, _ in judged(text, types, config)]
+
+
+def judged(text: str, types: tuple[str, ...] | None = None, config: Config | None = None) -> list[tuple[str, int, int, float]]:
+    """matches with their confidence. Types given go before the enabled ones of the settings."""
+    config = config or Config()
+    chosen = types or config.pii_enabled_types or DEFAULT_TYPES
+    plain, found = pii_text.Folded(text), []
+    for order, name in enumerate(TYPES):
+        if name not in chosen or (name not in ENTITIES and not _MARK.search(text)):
             continue
-        late = name in ENTITIES
-        spans = pattern(text) if callable(pattern) else (m.span() for m in pattern.finditer(text) if valid is None or valid(m[0]))
-        found += [(late, a, -b, order, name) for a, b in spans]
-        if name == "IP_ADDRESS":
-            found += [(late, a, -b, order, name) for a, b in _ipv6(text)]
-    emails = [(a, -b) for _, a, b, _, name in found if name == "EMAIL"]
+        late, sure = name in ENTITIES, NAME_CONFIDENCE if name == "NAME" else 1.0
+        spans = [plain.span(*s) for s in _spans(name, plain.text)]
+        if name in WRAPPED:
+            spans += pii_text.wrapped(lambda t, name=name: _spans(name, t), text, spans)
+        spans = [(*s, sure) for s in spans]
+        if not config.pii_require_checksum:
+            taken = [plain.span(*s) for s in _failed(name, plain.text)]
+            spans += [(a, b, FAILED_CONFIDENCE) for a, b in taken if all(b <= x or y <= a for x, y, _ in spans)]
+        found += [(late, a, -b, order, name, c) for a, b, c in spans if c >= config.pii_min_confidence]
+    emails = [(f[1], -f[2]) for f in found if f[4] == "EMAIL"]
     if emails:
         whole = lambda a, b: "@" not in re.split("[/?#]", text[a:b].split("://", 1)[-1], maxsplit=1)[0] and any(a <= x and y <= b for x, y in emails)
         found = [f for f in found if f[4] != "URL" or not whole(f[1], -f[2])]
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str, float]] = []
     end = 0
-    for late, a, b, _, name in sorted(found):
+    for late, a, b, _, name, sure in sorted(found):
         if late:
-            if all(y <= a or -b <= x for x, y, _ in taken):
-                taken.append((a, -b, name))
+            if all(y <= a or -b <= x for x, y, _, _ in taken):
+                taken.append((a, -b, name, sure))
         elif a >= end:
-            taken.append((a, -b, name))
+            taken.append((a, -b, name, sure))
             end = -b
-    return [(name, a, b) for a, b, name in sorted(taken)]
-
-
-def confidence(name: str) -> float:
-    return 0.5 if name == "NAME" else 1.0
+    return [(name, a, b, sure) for a, b, name, sure in sorted(taken)]
 
 
 def _partial(name: str, v: str) -> str:
@@ -194,6 +221,9 @@ def _partial(name: str, v: str) -> str:
 
 
 def masked_value(v: str, name: str, strategy: str) -> str:
+    if name in WRAPPED and strategy in ("hash", "partial"):
+        # A value over two lines is the one that it is on one.
+        v = pii_text.Folded(v, True).text
     if strategy == "redact":
         return f"[{name}]"
     if strategy == "asterisk":
@@ -203,11 +233,21 @@ def masked_value(v: str, name: str, strategy: str) -> str:
     return v if strategy == "none" else _partial(name, v)
 
 
-def _strategy(strategy: str) -> str:
-    name = strategy.strip().lower()
+def _strategy(strategy: str | None, config: Config) -> str:
+    name = (strategy or config.pii_default_mask_strategy).strip().lower()
     return name if name in STRATEGIES else "redact"
 
 
+def _looked_at(text: Column, types: tuple[str, ...] | None, config: Config) -> Column:
+    """Whether a text can hold a match: others never leave the JVM."""
+    chosen = types or config.pii_enabled_types or DEFAULT_TYPES
+    mark = text.rlike("[0-9@:]") if any(t not in ENTITIES for t in chosen) else F.lit(False)
+    return mark | text.rlike(_GIVEN) if "NAME" in chosen else mark
+
+
+_GIVEN = r"(?<!\w)(?:" + "|".join(sorted(pii_kinds.GIVEN_NAMES)) + r") \p{Lu}"
+
+
 def _types(types) -> tuple[str, ...] | None:
     if types is None:
         return None
@@ -217,29 +257,37 @@ def _types(types) -> tuple[str, ...] | None:
     return names
 
 
-def _found(t: str | None, chosen: tuple[str, ...] | None) -> list[dict] | None:
+def _found(t: str | None, chosen: tuple[str, ...] | None, config: Config) -> list[dict] | None:
     if t is None:
         return None
-    return [{"type": n, "text": t[a:b], "start_pos": len(t[:a].encode()), "end_pos": len(t[:b].encode()), "confidence": confidence(n)} for n, a, b in matches(t, chosen)]
+    out, done, octets = [], 0, 0
+    for n, a, b, sure in judged(t, chosen, config):
+        octets += len(t[done:a].encode())
+        start, done = octets, b
+        octets += len(t[a:b].encode())
+        out.append({"type": n, "text": t[a:b], "start_pos": start, "end_pos": octets, "confidence": sure})
+    return out
 
 
-def pii_detect(text: Column, types=None) -> Column:
-    chosen = _types(types)
+def pii_detect(text: Column, types=None, config: Config | None = None) -> Column:
+    """The matches in a text; types None: those of the settings. config None: the session's settings."""
+    chosen, config = _types(types), config or active()
 
     @F.pandas_udf(MATCH)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: _found(t, chosen))
+        return s.map(lambda t: _found(t, chosen, config))
 
-    return run(text)
+    look = _looked_at(text, chosen, config)
+    return F.when(text.isNull(), None).when(look, run(F.when(look, text))).otherwise(F.array().cast(MATCH))
 
 
-def pii_detect_batch(texts: Column, types=None) -> Column:
+def pii_detect_batch(texts: Column, types=None, config: Config | None = None) -> Column:
     """For an array of texts the matches of each; null for a null text."""
-    chosen = _types(types)
+    chosen, config = _types(types), config or active()
 
     @F.pandas_udf(T.ArrayType(MATCH))
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda ts: None if ts is None else [_found(t, chosen) for t in ts])
+        return s.map(lambda ts: None if ts is None else [_found(t, chosen, config) for t in ts])
 
     return run(texts)
 
@@ -276,8 +324,10 @@ def pii_is_valid_crypto_address(value: Column) -> Column:
     return run(value)
 
 
-def pii_mask(text: Column, strategy: str = "redact", types=None) -> Column:
-    chosen, how = _types(types), _strategy(strategy)
+def pii_mask(text: Column, strategy: str | None = None, types=None, config: Config | None = None) -> Column:
+    """The text with its matches masked; strategy None: that of the settings."""
+    config = config or active()
+    chosen, how = _types(types), _strategy(strategy, config)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -285,27 +335,28 @@ def pii_mask(text: Column, strategy: str = "redact", types=None) -> Column:
             if t is None:
                 return None
             out, at = [], 0
-            for n, a, b in matches(t, chosen):
+            for n, a, b in matches(t, chosen, config):
                 out += [t[at:a], masked_value(t[a:b], n, how)]
                 at = b
             return "".join([*out, t[at:]])
 
         return s.map(one)
 
-    return run(text)
+    look = _looked_at(text, chosen, config)
+    return F.when(look, run(F.when(look, text))).otherwise(text)
 
 
-def pii_mask_column(text: Column, kind: str, strategy: str = "redact") -> Column:
+def pii_mask_column(text: Column, kind: str, strategy: str | None = None) -> Column:
     return pii_mask(text, strategy, kind)
 
 
-def pii_redact_column(text: Column, strategy: str = "redact") -> Column:
+def pii_redact_column(text: Column, strategy: str | None = None) -> Column:
     return pii_mask(text, strategy)
 
 
-def pii_mask_value(value: Column, kind: str, strategy: str = "redact") -> Column:
+def pii_mask_value(value: Column, kind: str, strategy: str | None = None) -> Column:
     """The whole value as one match."""
-    name, how = _types(kind)[0], _strategy(strategy)
+    name, how = _types(kind)[0], _strategy(strategy, active())
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -337,7 +388,7 @@ def pii_scan_table(table: Relation, columns: str | list[str] | None = None) -> D
     samples = values.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("t"))).where("nth <= 5").groupBy(*key).agg(F.array_sort(F.collect_list("t")).alias("sample_values"))
     totals = values.groupBy(*key).agg(F.sum("c").alias("match_count"))
     checked, model = F.array(*map(F.lit, DEFAULT_TYPES)), F.lit("none")
-    sure = F.when(F.col("pii_type") == "NAME", 0.5).otherwise(1.0)
+    sure = F.when(F.col("pii_type") == "NAME", NAME_CONFIDENCE).otherwise(1.0)
     out = totals.join(samples, key).join(counts, "column_name").select(*key, "match_count", "sample_values", sure.alias("confidence"), "values_scanned", F.lit("found").alias("status"), checked.alias("checked_types"), model.alias("ner_model"))
     nothing = F.array().cast("array<string>")
     every = df.sparkSession.createDataFrame([(c,) for c in texts], "column_name string").join(counts, "column_name", "left").join(totals.select("column_name").distinct(), "column_name", "left_anti")
@@ -347,7 +398,7 @@ def pii_scan_table(table: Relation, columns: str | list[str] | None = None) -> D
     return out.union(blank).union(df.sparkSession.createDataFrame(skipped, schema)).orderBy(*key)
 
 
-def pii_audit_table(table: Relation, columns: str | list[str] | None = None, strategy: str = "redact", id_column: str | None = None) -> DataFrame:
+def pii_audit_table(table: Relation, columns: str | list[str] | None = None, strategy: str | None = None, id_column: str | None = None) -> DataFrame:
     """One row for each match: where it stands, the value, the value masked, and the matched text. Null values have none."""
     from .._base import with_row_ids
 

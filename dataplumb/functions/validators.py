@@ -58,10 +58,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), add) % 10 == 0
 
 
+def one_line(v: Column) -> Column:
+    """A value wrapped once, on one line; with more line breaks as it is."""
+    joined = F.regexp_replace(v, r"[ \t]*(\r\n|\n|\r)[ \t]*", " ")
+    return F.when(F.regexp_count(v, F.lit(r"\r\n|\n|\r")) == 1, joined).otherwise(v)
+
+
 def is_valid_credit_card(v: Column) -> Column:
+    v = one_line(v)
     d = _digits(v)
     brand = d.rlike("^(4([0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(2[2-9]|[3-6][0-9]|7[01])[0-9]{13}|2720[0-9]{12}|3[47][0-9]{13}|3(0[0-5]|[689][0-9])[0-9]{11,16}|6(011|5[0-9]{2}|4[4-9][0-9])[0-9]{12,15}|35[2-8][0-9]{13,16}|62[0-9]{14,17})$")
-    return F.when(v.isNotNull(), v.rlike(r"^\s*[0-9]+(?:[ .-][0-9]+)*\s*$") & brand & luhn(d))
+    return F.when(v.isNotNull(), v.rlike(r"^[ \t]*[0-9]+(?:[ .-][0-9]+)*[ \t]*\z") & brand & luhn(d))
 
 
 def is_valid_ssn(v: Column) -> Column:
@@ -78,8 +85,8 @@ IBAN_LENGTHS = {"AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE"
 
 
 def is_valid_iban(v: Column) -> Column:
-    """MOD 97 over the rearranged digits, nine at a time."""
-    n = F.upper(F.regexp_replace(v, r"[\s.-]", ""))
+    """MOD 97 over the rearranged digits; a value may be wrapped once."""
+    n = F.upper(F.regexp_replace(one_line(v), r"[ \t\u00a0.-]", ""))
     lengths = F.create_map(*(x for k, m in IBAN_LENGTHS.items() for x in (F.lit(k), F.lit(m))))
     shape = n.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z") & (F.try_element_at(lengths, F.substring(n, 1, 2)) == F.length(n))
     turned = F.concat(F.substring(n, 5, 40), F.substring(n, 1, 4))

@@ -15,6 +15,8 @@ __all__ = ["dbscan", "dbscan_mv", "isolation_forest", "isolation_forest_mv", "nu
 
 #: Columns along which points are cut into cells: 3 ** GRID neighbours of each.
 GRID = 3
+#: Ranges of values that one column's values are counted in.
+PARTS = 64
 
 
 def numbered(df: DataFrame, columns: list[str], id_column: str | None) -> DataFrame:
@@ -23,12 +25,52 @@ def numbered(df: DataFrame, columns: list[str], id_column: str | None) -> DataFr
     return with_row_ids(df.select(*ids, *(col(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))))
 
 
+def _in_parts(values: DataFrame, x: str) -> Column:
+    """The range of values that x falls into, of PARTS about as full ones, as a column of values with the bounds joined to it."""
+    return F.size(F.filter("bounds", lambda b: b <= F.col(x)))
+
+
+def _bounds(values: DataFrame, x: str) -> DataFrame:
+    return F.broadcast(values.agg(F.coalesce(F.percentile_approx(x, [k / PARTS for k in range(1, PARTS)]), F.array().cast("array<double>")).alias("bounds")))
+
+
+def _over_parts(rows: DataFrame, first: Column, last: Column, **sums: Column) -> DataFrame:
+    """For each part of rows: what its neighbours end with (before_last: the last there is in a part before; after_first) and the
+    sums over all parts before. There are PARTS rows."""
+    parts = rows.groupBy("part").agg(first.alias("first_"), last.alias("last_"), *(c.alias(f"sum_{n}") for n, c in sums.items()))
+    up, down = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(parts.select("part", F.last("last_", ignorenulls=True).over(up).alias("before_last"), F.last("first_", ignorenulls=True).over(down).alias("after_first"), *(F.coalesce(F.sum(f"sum_{n}").over(up), F.lit(0)).alias(f"before_{n}") for n in sums)))
+
+
+def _neighbours(values: DataFrame, eps: float, bounds: DataFrame) -> DataFrame:
+    """(value, neighbours) of values(value, c): how many rows are at most eps away, itself left out.
+
+    Each value asks at value - eps and value + eps for the rows up to there, by a running count over all values and questions in order,
+    within ranges of values. Where a place is rounded, the nearest value on either side is judged by its difference instead.
+    """
+    none = F.lit(None).cast("double")
+    kind = lambda at, order, v, c: F.struct(at.alias("at"), F.lit(order).alias("order"), v.alias("w"), c.alias("c"), F.col("value").alias("value"))
+    v, nothing = F.col("value"), F.lit(0).cast("long")
+    events = values.select(F.explode(F.array(kind(v - eps, 0, none, nothing), kind(v, 1, v, F.col("c")), kind(v + eps, 2, none, nothing))).alias("e")).select("e.*").crossJoin(bounds)
+    events = events.withColumn("part", _in_parts(events, "at")).drop("bounds")
+    here = F.when(F.col("order") == 1, F.struct("w", "c"))
+    parts = _over_parts(events, F.min(here), F.max(here), count=F.sum("c"))
+    up, down = Window.partitionBy("part").orderBy("at", "order"), Window.partitionBy("part").orderBy(F.desc("at"), F.desc("order"))
+    events = events.select("*", F.sum("c").over(up).alias("upto"), F.last(here, ignorenulls=True).over(up).alias("lower"), F.last(here, ignorenulls=True).over(down).alias("upper"))
+    asked = events.where("order <> 1").join(parts, "part").select("value", "order", (F.col("upto") + F.col("before_count")).alias("upto"), F.coalesce("lower", "before_last").alias("lower"), F.coalesce("upper", "after_first").alias("upper"))
+    # Of the rows up to the place those count that are not in reach (order 0), or that are (order 2).
+    left, right = F.when(v - F.col("lower.w") <= eps, -F.col("lower.c")).otherwise(0), F.when(v - F.col("upper.w") > eps, F.col("upper.c")).otherwise(0)
+    near, far = F.when(F.col("lower.w") - v > eps, -F.col("lower.c")).otherwise(0), F.when(F.col("upper.w") - v <= eps, F.col("upper.c")).otherwise(0)
+    fixed = F.col("upto") + F.when(F.col("order") == 0, F.coalesce(left, F.lit(0)) + F.coalesce(right, F.lit(0))).otherwise(F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0)))
+    return asked.groupBy("value").agg((F.max(F.when(F.col("order") == 2, fixed)) - F.max(F.when(F.col("order") == 0, fixed)) - 1).alias("neighbours"))
+
+
 def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, output_mode: str = "summary", id_column: str | None = None) -> DataFrame:
     """Density clusters of one column, exactly.
 
-    Values are cut into cells of width eps, so that neighbours are in three cells: counts come from sums by distinct value
-    and joins of neighbouring cells, and no task holds all rows. Cores without a gap above eps are one cluster; clusters are
-    numbered by their first core row; a border point belongs to the cluster of the smallest number in reach.
+    Neighbours are counted by running sums over distinct values in ranges of values, so that neither a dense stretch nor a frequent value
+    makes pairs, and no task holds all values. Cores without a gap above eps are one cluster, stitched where ranges meet; clusters are
+    numbered by their first core row; a border point belongs to the cluster of the smaller number of the cores next to it.
     """
     if not eps > 0 or min_pts < 1:
         raise ValueError("eps must be positive and min_pts at least 1")
@@ -36,19 +78,28 @@ def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, out
         raise ValueError("output_mode must be 'summary' or 'clusters'")
     rows = numbered(relation(table), [column], id_column).where("x0 is not null").withColumnRenamed("x0", "value")
     good = finite(F.col("value"))
-    values = rows.where(good).groupBy("value").agg(F.count("*").alias("c"), F.min("row_id").alias("first_row")).withColumn("cell", F.floor(F.col("value") / eps))
-    cells = values.select(F.col("value").alias("w"), F.col("c").alias("cw"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    near = values.join(cells, "cell").where(F.abs(F.col("value") - F.col("w")) <= eps)
-    counted = near.groupBy("value", "cell", "c", "first_row").agg((F.sum("cw") - 1).alias("neighbours")).withColumn("core", F.col("neighbours") + 1 >= min_pts)
-    # Runs of core values: only distinct core values go through the one ordered window.
-    order = Window.orderBy("value")
-    cores = counted.where("core").withColumn("new", F.coalesce((F.col("value") - F.lag("value").over(order) > eps).cast("int"), F.lit(1)))
-    cores = cores.withColumn("run", F.sum("new").over(order)).select("value", "run", "cell", "first_row")
-    runs = cores.groupBy("run").agg(F.min("first_row").alias("k")).withColumn("cluster", F.row_number().over(Window.orderBy("k")) - 1)
-    cores = cores.join(runs.select("run", "cluster"), "run")
-    spread = cores.select(F.col("value").alias("w"), F.col("cluster"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    border = counted.where("not core").join(spread, "cell").where(F.abs(F.col("value") - F.col("w")) <= eps).groupBy("value").agg(F.min("cluster").alias("border"))
-    known = counted.select("value", "neighbours", "core").join(cores.select("value", "cluster"), "value", "left").join(border, "value", "left")
+    values = stored(rows.where(good).groupBy("value").agg(F.count("*").alias("c"), F.min("row_id").alias("first_row")), "values")
+    bounds = _bounds(values, "value")
+    counted = values.join(_neighbours(values, eps, bounds), "value").withColumn("core", F.col("neighbours") + 1 >= min_pts).crossJoin(bounds)
+    counted = stored(counted.withColumn("part", _in_parts(counted, "value")).drop("bounds"), "counted")
+    # Runs of core values: a core begins one if the core before it, in its range or one before, is farther than eps away.
+    v, up = F.col("value"), Window.partitionBy("part").orderBy("value")
+    cores = counted.where("core")
+    cores = cores.join(_over_parts(cores, F.min("value"), F.max("value")), "part")
+    cores = cores.withColumn("new", F.coalesce((v - F.coalesce(F.lag("value").over(up), "before_last") > eps).cast("int"), F.lit(1))).select("part", "value", "first_row", "new")
+    cores = cores.withColumn("run", F.sum("new").over(up)).join(_over_parts(cores, F.min("value"), F.max("value"), run=F.sum("new")), "part")
+    cores = cores.select("part", "value", "first_row", (F.col("run") + F.col("before_run")).alias("run"))
+    runs = cores.groupBy("run").agg(F.min("first_row").alias("k"))
+    runs = runs.withColumn("cluster", F.row_number().over(Window.orderBy("k")) - 1)
+    cores = stored(cores.join(runs.select("run", "cluster"), "run").select("part", "value", "cluster"), "cores")
+    # The core next to a value on each side.
+    there = F.when(F.col("cluster").isNotNull(), F.struct("value", "cluster"))
+    known = counted.select("part", "value", "neighbours", "core").join(cores.select("value", "cluster"), "value", "left")
+    down = Window.partitionBy("part").orderBy(F.desc("value"))
+    known = known.select("*", F.last(there, ignorenulls=True).over(up).alias("lower"), F.last(there, ignorenulls=True).over(down).alias("upper")).join(_over_parts(known, F.min(there), F.max(there)), "part")
+    lower, upper = F.coalesce("lower", "before_last"), F.coalesce("upper", "after_first")
+    border = F.least(F.when(v - lower["value"] <= eps, lower["cluster"]), F.when(upper["value"] - v <= eps, upper["cluster"]))
+    known = known.select("value", "neighbours", "core", "cluster", F.when(~F.col("core"), border).alias("border"))
     out = rows.join(known, "value", "left")
     return _clustered(out, good, ["value"], eps, min_pts, output_mode, id_column)
 
