@@ -5,10 +5,10 @@ holds a share of the nodes of the one below, is built from the top down, in batc
 its nearest nodes in several directions. Every shard is queried with the nodes of every shard: pairs of shards are
 the units of work, searched both ways. A search keeps a beam of the best nodes met; beams are widened until an audit
 passes: they must find the nodes of probes, queries made to be just as near as a link asks, so that there is something to find
-where links are rare, and of some queries all links that a full scan shows. A beam that is full of links is
-widened to the whole shard for that query. Candidates are verified by their cosine in
-double precision, counted for both ends, and a spanning forest of the links goes on to the components, so that
-what a task emits grows with its nodes only.
+where links are rare, and of some queries all links that a full scan shows. A query with as many links as the first beam holds
+looks at the whole shard. Candidates are verified by their cosine in
+double precision and counted for both ends, some queries at a time, and a spanning forest of the links goes on to the components, so that
+what a task holds and emits grows with its nodes only, whatever the number of links.
 
 The number of shards is SHARDS, or what keeps a shard within SHARD_ROWS and SHARD_BYTES, which bounds a task's memory. Work grows as nodes
 times shards.
@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import components, drop_stored, stored
+from ._common import components, drop_stored, stored, with_group
 
 #: Shards at least; nodes of a shard and bytes of its vectors at most, in the mean.
 SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 1 << 16, 1 << 26
@@ -39,6 +40,8 @@ LINKS, LAYER_SHARE, BUILD_BEAM, BEAM, WIDEN, EXPAND = 12, 16, 48, 48, 4, 4
 #: Queries and probes that an audit looks at, and the share that must have been found.
 AUDIT, RECALL = 64, 0.99
 QUERIES_AT_ONCE = 256
+#: Queries that look at all nodes at once: their links are held together.
+SCANNED_AT_ONCE = 64
 LEAST = 0.95
 #: Beams are in single precision: what comes so near to LEAST is verified.
 SLACK = 1e-4
@@ -215,70 +218,140 @@ def found_probes(graph: Graph, width: int) -> float:
     return sum(int((ids == nodes[at : at + len(ids), None]).any(1).sum()) for at, ids, _ in beams(graph, queries, width)) / len(nodes)
 
 
-def near(graph: Graph, queries: np.ndarray, own: bool = False) -> list[np.ndarray]:
-    """The nodes found near each query; own: the queries are the graph's nodes, in order.
-
-    A width of the beams stands if it finds RECALL of the probes and of the true links (but those of a node with itself) of
-    AUDIT queries; else it is widened.
-    """
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
-    n, todo, width = len(graph.ids), np.arange(len(queries)), BEAM
-    picked = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)) if len(queries) else todo
+def audited_width(graph: Graph, queries: np.ndarray, own: bool) -> int | None:
+    """The width of beams that finds RECALL of the probes and of the true links (but those of a node with itself) of AUDIT queries; None: none does, and
+    nodes are looked at one by one. Queries whose beam is full of links don't count, as they look at all nodes anyway."""
+    n, width = len(graph.ids), BEAM
+    picked = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)) if len(queries) else np.zeros(0, int)
     truth = dict(zip(picked.tolist(), scan(graph, queries[picked]), strict=True))
     if own:
         truth = {k: x[x != k] for k, x in truth.items()}
-
-    def look_at_all(rows: np.ndarray) -> None:
-        for at in range(0, len(rows), QUERIES_AT_ONCE):
-            part = rows[at : at + QUERIES_AT_ONCE]
-            for k, x in zip(part, scan(graph, queries[part]), strict=True):
-                out[k] = x
-
-    while len(todo) and 4 * width < n:
+    while 4 * width < n:
         if found_probes(graph, width) >= RECALL:
-            full = [todo[:0]]
-            for at, ids, sims in beams(graph, queries[todo], width):
-                part = todo[at : at + len(ids)]
-                good = sims >= LEAST - SLACK
-                for k, i, g in zip(part, ids, good, strict=True):
-                    out[k] = i[g]
-                full.append(part[good.all(1)])
-            # A beam that is full of links is widened to the whole shard at once.
-            look_at_all(np.concatenate(full))
-            todo = np.setdiff1d(todo, np.concatenate(full))
-            audited = [k for k in truth if k in set(todo.tolist())]
-            met = sum(len(np.intersect1d(out[k], truth[k])) for k in audited)
-            if met >= RECALL * sum(len(truth[k]) for k in audited):
-                return out
+            still, met, want = [], 0, 0
+            for at, ids, sims in beams(graph, queries[picked], width):
+                for k, i, good in zip(picked[at : at + len(ids)].tolist(), ids, sims >= LEAST - SLACK, strict=True):
+                    if not good.all():
+                        still.append(k)
+                        met += len(np.intersect1d(i[good], truth[k]))
+                        want += len(truth[k])
+            if met >= RECALL * want:
+                return width
+            picked = np.array(still, int)
         width *= WIDEN
-    look_at_all(todo)
+    return None
+
+
+def near_blocks(graph: Graph, queries: np.ndarray, own: bool = False) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """(queries, the nodes found near each, whether these are all) for some queries at a time. own: the queries are the graph's nodes, in order.
+
+    A query with BEAM links or more looks at all nodes, so that what others found is bounded.
+    """
+    width = audited_width(graph, queries, own)
+
+    def whole(rows: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+        for at in range(0, len(rows), SCANNED_AT_ONCE):
+            part = rows[at : at + SCANNED_AT_ONCE]
+            yield part, scan(graph, queries[part]), True
+
+    if width is None:
+        yield from whole(np.arange(len(queries)))
+        return
+    for at, ids, sims in beams(graph, queries, width):
+        good = sims >= LEAST - SLACK
+        many = good.sum(1) >= BEAM
+        few = np.flatnonzero(~many)
+        yield at + few, [ids[k][good[k]] for k in few], False
+        yield from whole(at + np.flatnonzero(many))
+
+
+def near(graph: Graph, queries: np.ndarray, own: bool = False) -> list[np.ndarray]:
+    """The nodes found near each query."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    for rows, found, _ in near_blocks(graph, queries, own):
+        for k, x in zip(rows.tolist(), found, strict=True):
+            out[k] = x
     return out
 
 
-def linked(left: Graph, right: Graph, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs (row of left, row of right), each once."""
+def link_blocks(left: Graph, right: Graph, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs (row of left, row of right), each once, some at a time: what is held doesn't grow with the pairs.
+
+    A query that looked at all nodes has all of its links, which are counted at once; the few that other queries found are
+    held, and those between two of these are counted at the end, whichever of the two found them.
+    """
     if left.vectors.shape[1] != right.vectors.shape[1]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
+
+    def flat(rows: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(rows, [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
+
+    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            cosine = np.einsum("ij,ij->i", left.vectors[x], right.vectors[y]) / (left.norms[x] * right.norms[y])
+            keep[at : at + (1 << 16)] = cosine >= LEAST
+        return a[keep], b[keep]
+
+    held = []
+    all_left = np.zeros(len(left.ids), bool)
+    for rows, found, whole in near_blocks(right, left.unit, own=same):
+        a, b = flat(rows, found)
+        if not whole:
+            held.append((a, b))
+            continue
+        if same:
+            # Of two queries that both look at all nodes, the later one leaves the pair out, and within a block the higher one.
+            here = np.zeros(len(left.ids), bool)
+            here[rows] = True
+            keep = np.where(here[b], a < b, ~all_left[b])
+            a, b = a[keep], b[keep]
+        all_left[rows] = True
+        yield verified(a, b)
+    all_right = all_left if same else np.zeros(len(right.ids), bool)
+    for rows, found, whole in near_blocks(left, right.unit) if not same else ():
+        b, a = flat(rows, found)
+        if not whole:
+            held.append((a, b))
+            continue
+        all_right[rows] = True
+        keep = ~all_left[a]
+        yield verified(a[keep], b[keep])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in range(2))
+    if same:
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    keep = ~all_left[a] & ~all_right[b] & ((a != b) | (not same))
+    code = np.unique(a[keep] * len(right.ids) + b[keep])
+    yield verified(code // len(right.ids), code % len(right.ids))
 
-    def pairs(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
 
-    a, b = pairs(near(right, left.unit, own=same))
-    if not same:
-        b2, a2 = pairs(near(left, right.unit))
-        a, b = np.concatenate([a, a2]), np.concatenate([b, b2])
-    else:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-    code = np.unique(a * len(right.ids) + b)
-    a, b = code // len(right.ids), code % len(right.ids)
-    keep = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 16):
-        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        cosine = np.einsum("ij,ij->i", left.vectors[x], right.vectors[y]) / (left.norms[x] * right.norms[y])
-        keep[at : at + (1 << 16)] = cosine >= LEAST
-    if same:
-        keep &= a != b
-    return a[keep], b[keep]
+def linked(left: Graph, right: Graph, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All verified pairs (row of left, row of right), each once."""
+    blocks = list(link_blocks(left, right, same))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in blocks)]) for k in range(2))
+
+
+class Tally:
+    """Links counted for both ends, by the copies of the other end, and a forest of them."""
+
+    def __init__(self, left: Graph, right: Graph, same: bool):
+        self.left, self.right, self.shift = left, right, 0 if same else len(left.ids)
+        self.sums = np.zeros(len(left.ids) + (0 if same else len(right.ids)), np.int64)
+        self.parent, self.tree = np.arange(len(self.sums)), []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Rows of left and right."""
+        np.add.at(self.sums, a, self.right.counts[b])
+        b = b + self.shift
+        np.add.at(self.sums, b, self.left.counts[a])
+        while (self.parent != self.parent[self.parent]).any():
+            self.parent = self.parent[self.parent]
+        # Of the pairs between two trees one for each two.
+        x, y = self.parent[a], self.parent[b]
+        _, first = np.unique(np.minimum(x, y) * len(self.parent) + np.maximum(x, y), return_index=True)
+        first = first[x[first] != y[first]]
+        self.tree += _forest(a[first], b[first], self.parent)
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
@@ -306,6 +379,8 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors(vec_id, embedding)."""
+    if not isinstance(vectors.schema["vec_id"].dataType, T.IntegralType):
+        raise TypeError("vec_id must be a whole number")
     rows = stored(nodes_of(vectors), "vectors")
     good = rows.where("k1 is not null and vec_id is not null")
     nodes = stored(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("data").alias("data")), "nodes")
@@ -348,14 +423,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 same = i.as_py() == j.as_py()
                 a = unpack(x.as_py())
                 b = a if same else unpack(y.as_py())
-                p, q = linked(a, b, same)
-                sums = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
-                np.add.at(sums[0], p, b.counts[q])
-                np.add.at(sums[0] if same else sums[1], q, a.counts[p])
-                tree = _forest(p, q if same else q + len(a.ids), len(a.ids) + (0 if same else len(b.ids)))
+                tally = Tally(a, b, same)
+                for p, q in link_blocks(a, b, same):
+                    tally.add(p, q)
                 ids = a.ids if same else np.concatenate([a.ids, b.ids])
-                some = [(g.ids[s > 0], s[s > 0]) for g, s in zip((a,) if same else (a, b), sums, strict=False)]
-                nodes, counts = (np.concatenate([s[k] for s in some]) for k in range(2))
+                tree = np.array(tally.tree, np.int64).reshape(-1, 2)
+                some = tally.sums > 0
+                nodes, counts = ids[some], tally.sums[some]
                 left_, right_ = ids[tree[:, 0]], ids[tree[:, 1]]
                 none = pa.nulls(len(left_), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([nodes, left_])), pa.chunked_array([pa.array(counts), none]).combine_chunks(), pa.chunked_array([pa.nulls(len(nodes), pa.int64()), pa.array(right_)]).combine_chunks()], names=["a", "n", "b"])
@@ -364,17 +438,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
     parts = components(found.where("b is not null").select("a", "b"))
     known = nodes.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "rep", "n").join(counts, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = stored(known.select("n1", "n2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
+    known = stored(known.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
     drop_stored(graphs, found, nodes, parts)
-    alike = (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("vec_id").isNotNull()
-    out = rows.drop("data").join(known, alike, "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    # A much repeated vector is one key: its row is looked up without a shuffle.
+    out = with_group(rows.drop("data"), known, ("k1", "k2"))
+    there = F.col("vec_id").isNotNull()
+    component = F.when(there, F.coalesce("component", "vec_id"))
+    links = F.when(there, F.col("links"))
+    return out.select("vec_id", F.coalesce(links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Of the pairs those that join two trees."""
-    parent = list(range(n))
+def _forest(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs those that join two trees; parent follows."""
     out = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         rx, ry = x, y
@@ -387,4 +462,4 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         if rx != ry:
             parent[max(rx, ry)] = min(rx, ry)
             out.append((x, y))
-    return np.array(out, np.int64).reshape(-1, 2)
+    return out

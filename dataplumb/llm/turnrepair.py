@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import drop_stored, small, stored, tidy
+from ._common import drop_stored, small, stored, tidy, with_group
 
 CODES = ("D", "ID", "IID", "IIK", "IIR", "IK", "IR", "K", "R")
 RETITLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
@@ -462,28 +462,6 @@ def examined(turns: DataFrame, present: Column | None = None, copies: Column | N
     return rows.select("conv_id", "turn", "role", "text", "n", F.coalesce(fault, F.lit(0)).alias("fault"))
 
 
-def with_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight: str = "n", most: int = 1024) -> DataFrame:
-    """rows with the columns of their group (a row for each value of keys, nulls equal), if there is one.
-
-    Groups of more than one row in `most` (by weight) are at most `most` and are broadcast, so that no hot key
-    meets a shuffle; of the others Spark gets all if they are few, else it joins as it sees fit.
-    """
-    with tidy(rows.sparkSession):
-        total = groups.agg(F.sum(weight)).first()[0] or 0
-    others = [c for c in groups.columns if c not in (*keys, weight)]
-    both = groups.select(*(F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)), F.struct(*others).alias("found_"), weight)
-    hot = F.col(weight) * most > total
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        same = functools.reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"k_{i}"]) for i, k in enumerate(keys)])
-        return left.join(right.drop(weight), same, "left").drop(*(f"k_{i}" for i in range(len(keys))))
-
-    first = joined(rows, F.broadcast(both.where(hot)))
-    there = first.where(F.col("found_").isNotNull())
-    rest = joined(first.where(F.col("found_").isNull()).drop("found_"), small(both.where(~hot)))
-    return there.unionByName(rest).select(*rows.columns, *(F.col("found_")[c].alias(c) for c in others))
-
-
 def segmented(turns: DataFrame, present: Column | None, copies: Column | None, digest: bool, most: int) -> tuple[DataFrame, DataFrame]:
     """The turns in segments of at most so many with the states before and after each; and, if only digests are wanted, the
     conversations that were finished at once."""
