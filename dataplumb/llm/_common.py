@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .._base import quoted
 from .._tables import components, drop_stored, fresh_path, shared_dir, stored, tidy
 
-__all__ = ["WORD", "columns", "components", "documents", "drop_stored", "fresh", "fresh_path", "release", "shared_dir", "small", "stored", "tidy", "with_group"]
+__all__ = ["WORD", "columns", "components", "documents", "drop_stored", "fresh", "fresh_path", "pieces", "release", "shared_dir", "small", "stored", "tidy", "with_group"]
 
 #: A word: a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
+def pieces(text: Column, chars: int, parts: int = 10) -> Column:
+    """A text of at most so many characters as it is; of a longer one as many in all, in pieces from all over it with spaces between."""
+    size = chars // parts
+    step = (F.length(text) - size) / (parts - 1)
+    some = F.concat_ws(" ", *(F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(parts)))
+    return F.when(F.length(text) > chars, some).otherwise(text)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else Spark chooses another join."""
     with tidy(df.sparkSession):

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import table_of, text_blocks
+from ._common import pieces
 
-#: Documents of each language that filters are fitted on, and characters of each.
+#: Documents of each language that filters are fitted on, and characters of each, from all over it.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
 SLOT_BITS, WORD_BITS = 20, 64
 SIZES = (3, 5)
@@ -138,7 +139,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Filters:
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, most / n))) for k, n in counts.items()), F.lit(0.0))
     samples: dict[str, list[str]] = {k: [] for k in counts}
     if counts:
-        for lang, text in labelled.where(draw < share).select("lang", F.substring("text", 1, TRAIN_CHARS)).collect():
+        for lang, text in labelled.where(draw < share).select("lang", pieces(F.col("text"), TRAIN_CHARS)).collect():
             samples[lang].append(text)
     return fit(samples)
 

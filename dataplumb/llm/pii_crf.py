@@ -8,7 +8,7 @@ the next. Tokens of base spans are observed, as none so are those of addresses a
 batch at once, gives each token's marginals; a token that the patterns left out becomes a span if a kind's marginal
 reaches LEAST. So a number that is written in full once and cut short elsewhere is found in both places.
 
-The model is fitted on about TRAIN_DOCS documents, TRAIN_CHARS characters of each, with the patterns' labels; AGREEMENT is
+The model is fitted on about TRAIN_DOCS documents, TRAIN_CHARS characters of each from all over it, with the patterns' labels; AGREEMENT is
 set, not learnt. Everything else covers all documents, whole.
 
 Defined cases: a null text is an empty one; rows are looked at one by one, so repeated or null ids are no matter; other
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import pieces
+
 #: The kinds in the order in which their spans are listed.
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_CHARS = 1000, 20_000
@@ -266,11 +268,11 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """Fitted on about `most` documents with a digit or an at sign, drawn by a hash, `chars` characters of each."""
+    """Fitted on about `most` documents with a digit or an at sign, drawn by a hash, `chars` characters of each from all over it."""
     marked = docs.where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, most / max(1, marked.count()))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    return fit(sorted(r[0] for r in marked.where(draw < share).select(F.substring("text", 1, chars)).collect()))
+    return fit(sorted(r[0] for r in marked.where(draw < share).select(pieces(F.col("text"), chars)).collect()))
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
