@@ -79,3 +79,26 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[
             t += step
         out.append(F.array(*parts).cast("array<double>").alias(c))
     return at.select(*out)
+
+
+def ranked_values(df: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, rank and value: of each group of df(*by, x) the value at each rank (from 0) that ranks(*by, rank) asks for.
+
+    As order_statistics, with the cells of each group. ranks is broadcast: one row for each question.
+    """
+    by = list(by)
+    ranks = F.broadcast(ranks)
+    asked = df.join(F.broadcast(ranks.select(*by).distinct()), by, "left_semi")
+    cells = asked.select(*by, "x", _wide(F.col("x")).alias("cell")).groupBy(*by, "cell").agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cells = cells.withColumn("before", F.sum("c").over(Window.partitionBy(*by).orderBy("cell")) - F.col("c"))
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
+    found = cells.join(ranks, by).where(inside).select(*by, "rank", "before", "lo", "hi")
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    even = F.when(hi > lo, F.floor(F.least((x / 2 - lo / 2) / (hi / 2 - lo / 2), F.lit(1.0)) * (CELLS - 1))).otherwise(0).cast("int")
+    within = df.join(F.broadcast(found), by).where((x >= lo) & (x <= hi))
+    fine = within.groupBy(*by, "rank", "before", even.alias("cell")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    fine = fine.withColumn("before", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "rank").orderBy("cell")) - F.col("c"))
+    found = fine.where(inside).select(*by, "rank", "before", "lo", "hi")
+    values = df.join(F.broadcast(found), by).where((x >= lo) & (x <= hi)).groupBy(*by, "rank", "before", "x").agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "rank").orderBy("x")))
+    return values.where("upto > rank").groupBy(*by, "rank").agg(F.min("x").alias("value"))
