@@ -191,3 +191,23 @@ def anomaly_outlier_tree(spark, sf_dir):
         out = out.withColumn(c, F.round(c, 6))
     told = F.col("explanation").startswith("Value 999.99 for column 'v' is unusually high (median: 1.10, MAD: ")
     return out.withColumn("outlier_score", F.round("outlier_score", 9)).withColumn("told", told).drop("explanation")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN 'a' ELSE 'b' END AS seg, c_custkey % 1000 = 1 AND c_custkey % 3 <> 0 AS planted FROM customer),
+r AS (SELECT *, CASE WHEN planted OR seg = 'b' THEN 100.0 ELSE 1.0 END::DOUBLE AS v FROM c),
+a AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, avg(abs(v - 1)) * sqrt(pi() / 2) AS mad FROM r WHERE seg = 'a'),
+b AS (SELECT count(*) AS n, count(*) FILTER (planted)::DOUBLE / count(*) AS share FROM r WHERE v > 1)
+SELECT k AS c_custkey, 'v' AS column_name, '100' AS outlier_value, 100.0::DOUBLE AS outlier_value_num, round(mean, 6) AS cluster_mean, round(sd, 6) AS cluster_sd, 1.0::DOUBLE AS cluster_median, round(mad, 6) AS cluster_mad, n AS cluster_size,
+  round(99 / mad, 6) AS z_score, round(1 - 2.67 * mad, 6) AS lower_bound, round(1 + 2.67 * mad, 6) AS upper_bound, '[{"column":"seg","type":"categorical","operator":"in","values":["a"]}]' AS conditions, ' when seg IN (''a'')' AS reason, round(power(mad / 99, 2), 9) AS outlier_score FROM r, a WHERE planted
+UNION ALL SELECT k, 'seg', 'a', NULL, NULL, NULL, NULL, NULL, n, round(1 / sqrt(share), 6), NULL, NULL, '[{"column":"v","type":"numeric","operator":">","value":1}]', ' when v > 1', round(share, 9) FROM r, b WHERE planted
+""")
+def anomaly_outlier_tree_split(spark, sf_dir):
+    """Values that are odd only in their group: the conditions of the split that parts it, for both columns."""
+    k = F.col("c_custkey")
+    seg = F.when(k % 3 != 0, "a").otherwise("b")
+    v = F.when(((k % 1000 == 1) & (k % 3 != 0)) | (k % 3 == 0), 100.0).otherwise(1.0)
+    out = outlier_tree(table(spark, sf_dir, "customer").select("c_custkey", seg.alias("seg"), v.alias("v")), "seg, v", "outliers", id_column="c_custkey").drop("row_id").withColumnRenamed("id", "c_custkey")
+    for c in ("cluster_mean", "cluster_sd", "cluster_mad", "z_score", "lower_bound", "upper_bound"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out.withColumn("outlier_score", F.round("outlier_score", 9)).withColumn("reason", F.regexp_extract("explanation", r"\)( when .*)\z", 1)).drop("explanation")
