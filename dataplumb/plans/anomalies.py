@@ -69,9 +69,13 @@ def anomaly_forest_planes(spark, sf_dir):
 
 
 def anomaly_forest_density(spark, sf_dir):
-    """One value stands in large leaves, the planted ones in leaves of their own."""
+    """One value stands in large leaves, the planted ones in leaves of their own.
+
+    The planted values lie closer together than they are from the other one, however large the keys: spread by the keys themselves, the
+    least of them come to lie below every tree's split, in the other value's leaf.
+    """
     planted = F.col("o_orderkey") % 100 == 0
-    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, F.col("o_orderkey") + 1000.0).otherwise(5.0).alias("v"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(planted, 1000.0 + _unit(F.col("o_orderkey"), 0)).otherwise(5.0).alias("v"))
     return _flagged(df, "v", planted, 1, "uniform", "density")
 
 

@@ -11,3 +11,12 @@ def test_small_changes_are_rounded(spark):
     df = days.select("d", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
     rows = checks.rel_count_change(df, "d", start_date="2024-01-02", end_date="2024-01-04").collect()
     assert [r.message.split(" of baseline")[0] for r in rows] == ["Count 5000 on 2024-01-02 is within 0.0", "Count 4999 on 2024-01-03 is within -0.0", "Count 5004 on 2024-01-04 is within 0.001"]
+
+
+def test_planted_values_have_leaves_of_their_own_at_any_keys(spark, tmp_path):
+    """The first key is planted too, however far the last one is."""
+    from dataplumb.plans import QUERIES
+
+    spark.range(1_000_000, numPartitions=4).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["anomaly_forest_density"](spark, str(tmp_path))
+    assert found.count() == 10_000 and found.where("o_orderkey % 100 <> 0").count() == 0
