@@ -169,6 +169,11 @@ def judged(text: str, types: tuple[str, ...] | None = None, config: Config | Non
         spans = [plain.span(*s) for s in _spans(name, plain.text)]
         if name in WRAPPED:
             spans += pii_text.wrapped(lambda t, name=name: _spans(name, t), text, spans)
+        if name == "CREDIT_CARD" and spans and "IBAN" not in chosen:
+            # Where both are looked for, the account goes before its own digits: it does so where cards are looked for alone.
+            accounts = [plain.span(*s) for s in _spans("IBAN", plain.text)]
+            accounts += pii_text.wrapped(lambda t: _spans("IBAN", t), text, accounts)
+            spans = [(a, b) for a, b in spans if not any(x <= a and b <= y for x, y in accounts)]
         spans = [(*s, sure) for s in spans]
         if not config.pii_require_checksum:
             taken = [plain.span(*s) for s in _failed(name, plain.text)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dataplumb.functions import pii, pii_text
 from dataplumb.operators import checks
 
 
@@ -20,3 +21,13 @@ def test_planted_values_have_leaves_of_their_own_at_any_keys(spark, tmp_path):
     spark.range(1_000_000, numPartitions=4).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     found = QUERIES["anomaly_forest_density"](spark, str(tmp_path))
     assert found.count() == 10_000 and found.where("o_orderkey % 100 <> 0").count() == 0
+
+
+def test_digits_of_an_account_are_no_card():
+    """The last 14 digits of the account pass a card's check digit; looked for alone they are no card either."""
+    text = "Konto DE04 9898\n2029 6397043571, 4111 1111 1111 1111"
+    assert pii_text.iban_ok("DE04 9898 2029 6397043571") and [(t, text[a:b]) for t, a, b in pii.matches(text)][0][0] == "IBAN"
+    for alone in (("CREDIT_CARD",), ("CREDIT_CARD", "PHONE")):
+        assert [text[a:b] for _, a, b in pii.matches(text, alone)] == ["4111 1111 1111 1111"]
+    # Where the account's check digits are wrong, its last digits are a card as before.
+    assert [text[a:b] for _, a, b in pii.matches("Konto DE05 9898\n2029 6397043571", ("CREDIT_CARD",))] == ["2029 6397043571"]
