@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._base import Relation, column_name, column_names, quoted, relation
+from .._tables import spread, stored
 from ..config import Config, active
 from . import phone, pii_kinds, pii_text
 
@@ -379,15 +380,20 @@ def pii_contains(text: Column) -> Column:
 
 
 def pii_scan_table(table: Relation, columns: str | list[str] | None = None) -> DataFrame:
-    """Matches by column and type with the five smallest values as samples; columns that aren't text as skipped."""
+    """Matches by column and type with the five smallest values as samples; columns that aren't text as skipped.
+
+    Texts are looked through when this is called, in tasks of about as many texts each.
+    """
     df = relation(table)
     names = column_names(df, columns) if columns else df.columns
     texts = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
     rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).alias("v")) for c in texts))).alias("x")).select("x.*").where("v is not null") if texts else df.sparkSession.createDataFrame([], "column_name string, v string")
-    found = rows.select("column_name", F.explode_outer(pii_detect(F.col("v"))).alias("m"), "v")
+    found = spread(rows).select("column_name", F.explode_outer(pii_detect(F.col("v"))).alias("m"))
     counts = rows.groupBy("column_name").agg(F.count("*").alias("values_scanned"))
     # By distinct value first, so that samples are bounded whatever the number of values.
     values = found.where("m is not null").groupBy("column_name", F.col("m.type").alias("pii_type"), F.col("m.text").alias("t")).agg(F.count("*").alias("c"))
+    # Stored, so that texts are looked through once for samples, totals and columns without a match.
+    values = stored(values, "pii_values")
     key = ["column_name", "pii_type"]
     # The filter on the row number keeps five rows of each group before they are sorted anywhere.
     samples = values.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("t"))).where("nth <= 5").groupBy(*key).agg(F.array_sort(F.collect_list("t")).alias("sample_values"))
@@ -414,5 +420,7 @@ def pii_audit_table(table: Relation, columns: str | list[str] | None = None, str
     rows = with_row_ids(df.select(*ids, *(F.col(quoted(c)).alias(f"v{k}") for k, c in enumerate(texts))))
     kept = ["row_id", *(["id"] if id_column else [])]
     stacked = rows.select(*kept, F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"v{k}").alias("v")) for k, c in enumerate(texts)))).alias("x")).select(*kept, "x.*").where("v is not null")
-    found = stacked.select(*kept, "column_name", F.col("v").alias("original_value"), pii_mask(F.col("v"), strategy).alias("masked_value"), F.explode(pii_detect(F.col("v"))).alias("m"))
+    # Masked before matches are rows, so that each value is masked once.
+    judged_once = spread(stacked).select(*kept, "column_name", F.col("v").alias("original_value"), pii_mask(F.col("v"), strategy).alias("masked_value"), pii_detect(F.col("v")).alias("ms"))
+    found = judged_once.select(*kept, "column_name", "original_value", "masked_value", F.explode("ms").alias("m"))
     return found.select(*kept, "column_name", F.col("m.type").alias("pii_type"), "original_value", "masked_value", F.col("m.start_pos").alias("start_pos"), F.col("m.end_pos").alias("end_pos"), F.col("m.confidence").alias("confidence"), F.col("m.text").alias("matched_text"))

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from .._tables import spread
 from ..config import Config
 from ..functions import phone, pii, validators, vat
 from .checks import table
@@ -37,7 +38,7 @@ def _letters(spark, sf_dir):
     mail = F.concat(F.lit("jörg.k"), k, F.lit("@müller.example"))
     device = F.concat_ws(".", F.lpad((k % 10_000).cast("string"), 4, "0"), F.lit("5e8b"), F.lit("1c2a"))
     text = F.concat(F.lit("Für Sie: "), number, F.lit(", "), mail, F.lit(". Konto "), iban, F.lit(" und Gerät "), device)
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", text.alias("text"))
 
 
 _LETTERS = r"""
@@ -114,7 +115,7 @@ def scalar_phone_regions(spark, sf_dir):
     region = pick(*map(F.lit, ("DE", "FR", "PL", "AU", "GB", "ES")))
     number = pick(F.concat(F.lit("0151 "), d), F.concat(F.lit("01 "), d), F.concat(F.lit("600 "), F.substring(d, 3, 6)), F.concat(F.lit("(02) "), d), F.concat(F.lit("076"), d), F.concat(F.lit("9112"), d))
     parsed = phone.phonenumber_parse(number, region)
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         "c_custkey", phone.phonenumber_format(number, region, "E164").alias("e164"), parsed["region"].alias("region"), parsed["type"].alias("kind"), parsed["valid"].alias("valid"), parsed["reason"].alias("reason"), phone.phonenumber_is_possible(number, region).alias("possible"), phone.phonenumber_example(region).alias("example")
     )
 
@@ -134,4 +135,4 @@ def scalar_identifiers_more(spark, sf_dir):
     h = F.md5(k.cast("string"))
     coin = F.concat(F.lit("0x"), h, F.substring(h, 1, 8), F.when(k % 5 == 0, "0").otherwise(""))
     number = F.concat(F.when(k % 2 == 0, "DK ").otherwise("XX "), F.lpad((k * 7919 % 90_000_000 + 10_000_000).cast("string"), 8, "0"))
-    return table(spark, sf_dir, "customer").select("c_custkey", validators.is_valid_iban(iban).alias("iban"), validators.is_valid_de_tax_id(tax).alias("tax"), pii.pii_is_valid_crypto_address(coin).alias("coin"), vat.vat(number)["country"].alias("country"), vat.vat_exists(number).alias("there"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", validators.is_valid_iban(iban).alias("iban"), validators.is_valid_de_tax_id(tax).alias("tax"), pii.pii_is_valid_crypto_address(coin).alias("coin"), vat.vat(number)["country"].alias("country"), vat.vat_exists(number).alias("there"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .._tables import spread
 from ..functions import money, phone, pii, postal, validators, vat
 from ..operators import anomaly
 from ..operators.outlier_tree import outlier_tree
@@ -99,7 +100,7 @@ def scalar_identifiers(spark, sf_dir):
     ssn = F.concat_ws("-", F.lpad((k % 1000).cast("string"), 3, "0"), F.substring(d, 1, 2), F.substring(d, 3, 4))
     nino = F.concat(F.when(k % 2 == 0, "AB").otherwise("GB"), d, F.lit("c"))
     mail = F.concat(F.when(k % 3 == 0, "a b").otherwise("a.b"), F.lit("@"), d, F.lit(".example.org"))
-    return table(spark, sf_dir, "customer").select("c_custkey", validators.is_valid_ssn(ssn).alias("ssn"), validators.is_valid_nino(nino).alias("nino"), validators.email_is_valid(mail).alias("mail"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", validators.is_valid_ssn(ssn).alias("ssn"), validators.is_valid_nino(nino).alias("nino"), validators.email_is_valid(mail).alias("mail"))
 
 
 @query("""
@@ -110,17 +111,17 @@ def scalar_phone(spark, sf_dir):
     d = F.lpad((100_000 + F.col("c_custkey") * 31 % 900_000).cast("string"), 6, "0")
     local, abroad = F.concat(F.lit("030 "), d), F.concat(F.lit("+49 30 "), d)
     parsed = phone.phonenumber_parse(local, "DE")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(
         "c_custkey", phone.phonenumber_format(local, "DE", "E164").alias("e164"), phone.phonenumber_region(local, "DE").alias("region"), phone.phonenumber_is_valid(local, "DE").alias("valid"), phone.phonenumber_is_possible(local, "DE").alias("possible"), phone.phonenumber_is_valid_for_region(abroad, "DE").alias("for_region"),
         phone.phonenumber_match(local, abroad, "DE").alias("matched"), parsed["country_code"].alias("country_code"), parsed["national_number"].alias("national"), parsed["type"].alias("kind"),
     )
 
 
 def _notes(spark, sf_dir):
-    """A note for each customer: an address of its own, an IP address, and for every third one a birth date."""
+    """A note for each customer, dealt over tasks: an address of its own, an IP address, and for every third one a birth date."""
     k = F.col("c_custkey").cast("string")
     note = F.concat(F.lit("mail c"), k, F.lit("@example.org, from 10.0."), (F.col("c_custkey") % 256).cast("string"), F.lit(".7"), F.when(F.col("c_custkey") % 3 == 0, ", born 1980-02-03").otherwise(""))
-    return table(spark, sf_dir, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")).select("c_custkey", note.alias("note"), "c_acctbal")
 
 
 _NOTES = "WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey || '@example.org' AS mail, '10.0.' || (c_custkey % 256) || '.7' AS ip FROM customer)"

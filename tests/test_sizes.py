@@ -31,3 +31,15 @@ def test_digits_of_an_account_are_no_card():
         assert [text[a:b] for _, a, b in pii.matches(text, alone)] == ["4111 1111 1111 1111"]
     # Where the account's check digits are wrong, its last digits are a card as before.
     assert [text[a:b] for _, a, b in pii.matches("Konto DE05 9898\n2029 6397043571", ("CREDIT_CARD",))] == ["2029 6397043571"]
+
+
+def test_work_by_row_is_dealt_over_tasks(spark, tmp_path):
+    """A table of one row group is one task's to read, but not to look through."""
+    from dataplumb.plans import QUERIES
+
+    spark.range(2_000).selectExpr("id AS c_custkey", "0.5D AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("pii_formats", "pii_functions", "pii_settings", "pii_strategies", "pii_audit_notes", "scalar_identifiers_more", "scalar_identifiers", "scalar_phone", "scalar_phone_regions"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 16, name
+    scan = QUERIES["pii_scan_notes"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in scan._jdf.queryExecution().toString()
+    assert {r.pii_type: r.match_count for r in scan.collect()} == {"EMAIL": 2000, "IP_ADDRESS": 2000, "DATE_OF_BIRTH": 667, None: 0}
