@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._base import Relation, col, column_names, finite, relation, with_row_ids
-from .._tables import components, stored
+from .._tables import components, spread, stored
 from .forest import isolation_forest, isolation_forest_mv
 
 __all__ = ["dbscan", "dbscan_mv", "isolation_forest", "isolation_forest_mv", "numbered"]
 
 #: Columns along which points are cut into cells: 3 ** GRID neighbours of each.
 GRID = 3
+#: Points of a block of a cell, about; so many others meet them at once.
+BLOCK, STEP = 1024, 512
 #: Ranges of values that one column's values are counted in.
 PARTS = 64
 
@@ -104,12 +109,123 @@ def dbscan(table: Relation, column: str, eps: float = 0.5, min_pts: int = 5, out
     return _clustered(out, good, ["value"], eps, min_pts, output_mode, id_column)
 
 
+class Counts:
+    """Of each point of a block the sum of v over what is near."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.total = ids, np.zeros(len(ids))
+
+    def meet(self, near: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        self.total += near.astype(np.float64) @ v.astype(np.float64)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids, self.total.astype(np.int64)
+
+
+class Least:
+    """Of each point of a block the least v of what is near, where something is."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.best = ids, np.full(len(ids), np.iinfo(np.int64).max)
+
+    def meet(self, near: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        self.best = np.minimum(self.best, np.where(near, v, np.iinfo(np.int64).max).min(1))
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        some = self.best < np.iinfo(np.int64).max
+        return self.ids[some], self.best[some]
+
+
+class Links:
+    """Links that span what a block's points and those near them hang together by: one for each point near, one for each two parts joined."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.part, self.out = ids, np.arange(len(ids)), []
+
+    def meet(self, near: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        at = np.flatnonzero(near.any(0))
+        self.out.append((self.ids[near[:, at].argmax(0)], ids[at]))
+        # By part of the block: a point near two parts joins them.
+        order = np.argsort(self.part, kind="stable")
+        parts, begin = np.unique(self.part[order], return_index=True)
+        if len(parts) == 1 or not len(at):
+            return
+        joins = np.logical_or.reduceat(near[order][:, at], begin, axis=0)
+        root = np.arange(len(parts))
+        for column in np.unique(joins[:, joins.sum(0) > 1], axis=1).T:
+            roots = np.unique(root[column])
+            if len(roots) > 1:
+                self.out.append((np.full(len(roots) - 1, self.ids[parts[roots[0]]]), self.ids[parts[roots[1:]]]))
+                root[np.isin(root, roots)] = roots[0]
+        self.part = parts[root[np.searchsorted(parts, self.part)]]
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        nothing = np.zeros(0, np.int64)
+        a, b = (np.concatenate([nothing, *(o[k] for o in self.out)]) for k in range(2))
+        return a[a != b], b[a != b]
+
+
+def _met(left: DataFrame, right: DataFrame, xs: list[str], eps: float, make: type) -> DataFrame:
+    """(a, b): what make tells of blocks of left(p, xs) and the points of right(p, v, xs) at most eps away.
+
+    Rows come by block, its own points first; of the others so many are held at a time as STEP says.
+    """
+    grid = xs[:GRID]
+    cells = [f"g{i}" for i in range(len(grid))]
+    places = [F.floor(F.col(x) / eps).alias(g) for x, g in zip(grid, cells, strict=True)]
+    left, right = left.select("p", F.lit(0).cast("long").alias("v"), *xs, *places), right.select("p", "v", *xs, *places)
+    blocks = left.groupBy(*cells).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = left.join(blocks, cells).withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+    for g in cells:
+        right = right.withColumn(g, F.explode(F.array(*(F.col(g) + k for k in (-1, 0, 1)))))
+    right = right.join(blocks, cells).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = [*cells, "block", "kind", "p", "v", *xs]
+    met = left.withColumn("kind", F.lit(0)).select(*columns).union(right.withColumn("kind", F.lit(1)).select(*columns))
+    met = spread(met, *cells, "block").sortWithinPartitions(*cells, "block", "kind")
+    n_keys = len(cells) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, state = None, [], None
+
+        def told(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            whole = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n_keys + 3)], 1)
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys + 3, batch.num_columns)], 1)
+            # Runs of one block and one kind.
+            starts = np.flatnonzero(np.append(True, (whole[1:, : n_keys + 1] != whole[:-1, : n_keys + 1]).any(1))) if len(whole) else []
+            for a, b in zip(starts, np.append(starts[1:], len(whole)).astype(int), strict=True):
+                now = tuple(whole[a, :n_keys].tolist())
+                if now != key:
+                    found += [state.end()] if state else []
+                    key, own, state = now, [], None
+                if whole[a, n_keys] == 0:
+                    own.append((whole[a:b, n_keys + 1], x[a:b]))
+                    continue
+                if state is None:
+                    ids, ours = (np.concatenate([o[k] for o in own]) for k in range(2))
+                    state = make(ids)
+                for c in range(a, b, STEP):
+                    d = min(c + STEP, b)
+                    squares = [(ours[:, None, k] - x[None, c:d, k]) for k in range(len(xs))]
+                    state.meet(np.sqrt(reduce(np.add, (q * q for q in squares))) <= eps, whole[c:d, n_keys + 1], whole[c:d, n_keys + 2])
+            yield told(found)
+        yield told([state.end()] if state else [])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def dbscan_mv(table: Relation, columns: str | list[str], eps: float = 0.5, min_pts: int = 5, output_mode: str = "summary", id_column: str | None = None) -> DataFrame:
     """Density clusters of several columns by Euclidean distance, exactly.
 
     Points are cut into cells of width eps along the first GRID columns, so that neighbours are in adjacent cells, and equal
-    points are one with a count. Clusters are connected components of the cores; numbers and border points follow dbscan. A
-    row with a null is left out, one with a number that isn't finite has no neighbours.
+    points are one with a count. A cell's points are cut into blocks; each block meets the points of the cells around it in one
+    task, a few at a time, and tells counts, spanning links and least clusters instead of pairs. Distances of all points in
+    adjacent cells are still computed. Clusters are connected components of the cores; numbers and border points follow
+    dbscan. A row with a null is left out, one with a number that isn't finite has no neighbours.
     """
     if not eps > 0 or min_pts < 1:
         raise ValueError("eps must be positive and min_pts at least 1")
@@ -121,27 +237,18 @@ def dbscan_mv(table: Relation, columns: str | list[str], eps: float = 0.5, min_p
     rows = numbered(df, names, id_column).where(reduce(lambda a, b: a & b, (F.col(x).isNotNull() for x in xs)))
     good = reduce(lambda a, b: a & b, (finite(F.col(x)) for x in xs))
     # A point's number is its first row.
-    points = rows.where(good).groupBy(*xs).agg(F.count("*").alias("c"), F.min("row_id").alias("p"))
-    grid = xs[:GRID]
-    left = points.select("p", "c", *xs, *(F.floor(F.col(x) / eps).alias(f"g{i}") for i, x in enumerate(grid)))
-    right = points.select(F.col("p").alias("q"), F.col("c").alias("cq"), *(F.col(x).alias(f"y{i}") for i, x in enumerate(xs)), *(F.floor(F.col(x) / eps).alias(f"h{i}") for i, x in enumerate(grid)))
-    for i in range(len(grid)):
-        right = right.withColumn(f"h{i}", F.explode(F.array(*(F.col(f"h{i}") + k for k in (-1, 0, 1)))))
-    distance = F.sqrt(reduce(lambda a, b: a + b, ((F.col(x) - F.col(f"y{i}")) * (F.col(x) - F.col(f"y{i}")) for i, x in enumerate(xs))))
-    near = left.join(right, reduce(lambda a, b: a & b, (F.col(f"g{i}") == F.col(f"h{i}") for i in range(len(grid))))).where(distance <= eps)
-    counted = near.groupBy("p").agg((F.sum("cq") - 1).alias("neighbours")).withColumn("core", F.col("neighbours") + 1 >= min_pts)
-    counted = stored(counted, "cores")
-    cores = counted.where("core").select("p")
-    # Every core with the cores and others in its reach.
-    reach = near.select("p", "q").join(cores, "p")
-    edges = reach.where("p < q").join(cores.select(F.col("p").alias("q")), "q").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    parts = components(edges)
-    of = cores.join(parts, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("k"))
+    points = stored(rows.where(good).groupBy(*xs).agg(F.count("*").alias("c"), F.min("row_id").alias("p")), "points")
+    counts = _met(points.select("p", *xs), points.select(F.col("c").alias("v"), "p", *xs), xs, eps, Counts)
+    counted = points.join(counts.select(F.col("a").alias("p"), (F.col("b") - 1).alias("neighbours")), "p").withColumn("core", F.col("neighbours") + 1 >= min_pts)
+    counted = stored(counted.drop("c"), "counted")
+    cores = counted.where("core").select("p", *xs)
+    parts = components(_met(cores, cores.withColumn("v", F.lit(0).cast("long")), xs, eps, Links))
+    of = cores.select("p").join(parts, F.col("p") == F.col("node"), "left").select("p", F.coalesce("component", "p").alias("k"))
     numbers = of.select("k").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("k")) - 1)
-    of = of.join(numbers, "k").select("p", "cluster")
-    others = counted.where("not core").select(F.col("p").alias("q"))
-    border = reach.join(others, "q").join(of, "p").groupBy("q").agg(F.min("cluster").alias("border")).withColumnRenamed("q", "p")
-    known = counted.join(of, "p", "left").join(border, "p", "left").join(points, "p").drop("c", "p")
+    of = stored(of.join(numbers, "k").select("p", "cluster"), "clusters")
+    border = _met(counted.where("not core").select("p", *xs), cores.join(of, "p").withColumn("v", F.col("cluster").cast("long")), xs, eps, Least)
+    border = border.select(F.col("a").alias("p"), F.col("b").cast("int").alias("border"))
+    known = counted.join(of, "p", "left").join(border, "p", "left").drop("p")
     same = reduce(lambda a, b: a & b, (F.col(f"r.{x}") == F.col(f"k.{x}") for x in xs))
     out = rows.alias("r").join(known.alias("k"), same, "left").select("r.*", "neighbours", "core", "cluster", "border")
     return _clustered(out, good, [], eps, min_pts, output_mode, id_column, len(names))

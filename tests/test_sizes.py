@@ -1,9 +1,13 @@
 """What only larger tables showed: results that left their SQL, and work that stood in one task."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from dataplumb.functions import pii, pii_text
-from dataplumb.operators import checks
+from dataplumb.operators import anomaly, checks
 
 
 def test_small_changes_are_rounded(spark):
@@ -43,3 +47,30 @@ def test_work_by_row_is_dealt_over_tasks(spark, tmp_path):
     scan = QUERIES["pii_scan_notes"](spark, str(tmp_path))
     assert "ArrowEvalPython" not in scan._jdf.queryExecution().toString()
     assert {r.pii_type: r.match_count for r in scan.collect()} == {"EMAIL": 2000, "IP_ADDRESS": 2000, "DATE_OF_BIRTH": 667, None: 0}
+
+
+@pytest.mark.parametrize("block, step, n_columns, spread", [(1024, 512, 2, 0.8), (7, 5, 4, 0.5)])
+def test_clusters_of_several_columns_make_no_pairs(spark, monkeypatch, block, step, n_columns, spread):
+    """Against a plain version, with blocks of a few points too: dense and sparse stretches, repeated points, two columns and four."""
+    monkeypatch.setattr(anomaly, "BLOCK", block)
+    monkeypatch.setattr(anomaly, "STEP", step)
+    at = random.Random(n_columns)
+    points = [tuple(round(at.gauss(at.choice([0, 3, 9]), spread), 1) for _ in range(n_columns)) for _ in range(300)]
+    points += points[:20]
+    near = [[j for j, q in enumerate(points) if math.sqrt(sum((a - b) * (a - b) for a, b in zip(p, q, strict=True))) <= 0.9] for p in points]
+    core = [len(n) >= 4 for n in near]
+    label, clusters = [None] * len(points), 0
+    for k in range(len(points)):
+        if core[k] and label[k] is None:
+            todo, label[k] = [k], clusters
+            while todo:
+                for j in near[todo.pop()]:
+                    if core[j] and label[j] is None:
+                        label[j] = clusters
+                        todo.append(j)
+            clusters += 1
+    want = {k: (label[k] if core[k] else min((label[j] for j in n if core[j]), default=-1), len(n) - 1) for k, n in enumerate(near)}
+    names = [f"x{i}" for i in range(n_columns)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], ["k", *names]).coalesce(1)
+    got = {r.id: (r.cluster_id, r.neighbor_count) for r in anomaly.dbscan_mv(df, names, 0.9, 4, "clusters", "k").collect()}
+    assert got == want and clusters > 1 and any(not c for c in core)
