@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .._base import Relation, col, column_name, column_names, finite, relation, with_row_ids
 from .._order import order_statistics
-from .._tables import drop_stored, stored, tidy
+from .._tables import drop_stored, spread, stored, tidy
 
 #: Candidates above the expected number, in standard deviations of it.
 MARGIN = 6
@@ -298,7 +298,8 @@ def _scored(df: DataFrame, names: list[str], who: str, n_trees: int, sample_size
     """row_id, [id], x0 if it is the only column, inside, anomaly_score and is_anomaly of every row that counts."""
     seed = secrets.randbits(63) if seed is None else int(seed)
     rows, numbers, texts = _prepared(df, names, weight, id_column, "mv" in who, who)
-    rows = stored(rows, "forest_rows")
+    # Dealt over tasks: they are drawn from and scored in the tasks that read them.
+    rows = stored(spread(rows), "forest_rows")
     trees, known, size = _trees(rows, numbers, texts, n_trees, sample_size, seed, options)
     sent = df.sparkSession.sparkContext.broadcast(Forest(trees, known, size, metric))
     kept = ["row_id", *(["id"] if id_column else []), *(["x0"] if numbers == ["x0"] and not texts else []), "inside"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dataplumb.functions import pii, pii_text
-from dataplumb.operators import anomaly, checks
+from dataplumb.operators import anomaly, checks, forest
 
 
 def test_small_changes_are_rounded(spark):
@@ -74,3 +74,16 @@ def test_clusters_of_several_columns_make_no_pairs(spark, monkeypatch, block, st
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], ["k", *names]).coalesce(1)
     got = {r.id: (r.cluster_id, r.neighbor_count) for r in anomaly.dbscan_mv(df, names, 0.9, 4, "clusters", "k").collect()}
     assert got == want and clusters > 1 and any(not c for c in core)
+
+
+def test_forest_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """Rows that one task reads are drawn from and scored in many."""
+    parts, kept = {}, forest.stored
+
+    def seen(df, name):
+        parts[name] = df.rdd.getNumPartitions()
+        return kept(df, name)
+
+    monkeypatch.setattr(forest, "stored", seen)
+    df = spark.range(400).selectExpr("id", "cast(id % 10 AS double) AS v").coalesce(1)
+    assert forest.isolation_forest(df, "v", 5, 32, 0.1, "scores", 1, "id").count() == 400 and parts["forest_rows"] == 16
